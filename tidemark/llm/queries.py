@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, token_output, url_filter
+from . import chat_format, lang_id, line_dedup, packing, token_output, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         url_filter.op1_url_filter,
+        lang_id.op2_language_id,
         line_dedup.op3_line_dedup,
+        chat_format.op4_chat_format,
+        topk.op6_exact_top_k,
         packing.op7_best_fit_packing,
         token_output.op10_token_output,
     ]
@@ -20,4 +23,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op3_line_dedup": line_dedup.SQL}
+    modules = {"op1_url_filter": url_filter, "op3_line_dedup": line_dedup, "op4_chat_format": chat_format, "op6_exact_top_k": topk}
+    return {name: m.SQL for name, m in modules.items()}
