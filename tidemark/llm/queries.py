@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, lang_id, line_dedup, packing, token_output, topk, url_filter
+from . import chat_format, lang_id, line_dedup, packing, simhash, token_output, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lang_id.op2_language_id,
         line_dedup.op3_line_dedup,
         chat_format.op4_chat_format,
+        simhash.op5_simhash_near_dedup,
         topk.op6_exact_top_k,
         packing.op7_best_fit_packing,
         token_output.op10_token_output,
