@@ -12,10 +12,12 @@ are the operator's own.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, written
+from .common import ascii_lower, scratch
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -40,17 +42,30 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fan_in: int = 4, least: int = 1) -> None:
         self.spark, self.fan_in, self.least = spark, fan_in, least
-        self.levels: list[list[str]] = []
+        self.levels: list[list[tuple[str, int]]] = [[]]  # of runs: the table that a run lies in, and its number there
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
+    def _read(self, runs: list[tuple[str, int]]) -> DataFrame:
+        """h1, h2, n of runs; those of one table are sorted by run, so that row-group statistics part them."""
+        tables: dict[str, list[int]] = {}
+        for path, run in runs:
+            tables.setdefault(path, []).append(run)
+        rows = [self.spark.read.schema("run int, h1 long, h2 long, n long").parquet(p).where(F.col("run").isin(k)) for p, k in tables.items()]
+        return functools.reduce(DataFrame.union, rows, self.spark.createDataFrame([], "run int, h1 long, h2 long, n long")).select("h1", "h2", "n")
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, rows: DataFrame, level: int, runs: int = 1) -> list[tuple[str, int]]:
         path = scratch(self.spark, f"lines-l{level}")
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
+        rows.select(F.col("run").cast("int").alias("run"), "h1", "h2", "n").sortWithinPartitions("run", "h1", "h2").write.parquet(path)
+        return [(path, k) for k in range(runs)]
+
+    def _push(self, level: int, run: tuple[str, int]) -> None:
+        """Put a run on a level, and compact the levels that are full."""
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fan_in:
+            full, self.levels[level] = self.levels[level], []
+            merged = self._read(full).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            self._push(level + 1, self._write(merged.withColumn("run", F.lit(0)), level + 1)[0])
 
     def _keys(self, docs: DataFrame, *keep: str) -> DataFrame:
         """keep, h1, h2 of every distinct key of each document."""
@@ -58,46 +73,19 @@ class LineRuns:
         keys = docs.select(*keep, F.explode(F.filter(keys, lambda k: F.length(k) >= max(1, self.least))).alias("_ld_key"))
         return keys.select(*keep, F.xxhash64("_ld_key").alias("h1"), F.xxhash64(F.lit(1), "_ld_key").alias("h2"))
 
-    def add(self, docs: DataFrame) -> None:
-        """Count a batch's keys, a document counting once for each, into a run of level 0; then compact."""
-        self._write(self._keys(docs.select("text")).groupBy("h1", "h2").agg(F.count("*").alias("n")), 0)
-        self.compact()
-
-    def add_batches(self, docs: DataFrame, batches: int) -> None:
-        """As `add` on each of `batches` parts of the rows, dealt by text, in one pass over them."""
-        part = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(batches)).alias("_ld_batch"))
-        runs = self._keys(part, "_ld_batch").groupBy("h1", "h2", "_ld_batch").agg(F.count("*").alias("n"))
-        path = scratch(self.spark, "lines-l0")
-        runs.sortWithinPartitions("_ld_batch", "h1", "h2").write.partitionBy("_ld_batch").parquet(path)
-        for b in range(batches):
-            self.levels = self.levels or [[]]
-            self.levels[0].append(f"{path}/_ld_batch={b}")
-            self.compact()
-
-    def compact(self) -> None:
-        for level in range(len(self.levels)):
-            if len(self.levels[level]) >= self.fan_in:
-                paths = self._present(self.levels[level])
-                self.levels[level] = []
-                if paths:
-                    self._write(self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n")), level + 1)
-
-    def _present(self, paths: list[str]) -> list[str]:
-        """Without the runs that an empty batch left unwritten."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        out = []
-        for p in paths:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            if at.getFileSystem(conf).exists(at):
-                out.append(p)
-        return out
+    def add(self, docs: DataFrame, batches: int = 1) -> None:
+        """Count the keys of new documents, each counting once for a key, into runs of level 0.
+
+        With more than one batch, the rows are dealt to batches by text; one pass over them writes the runs of all.
+        """
+        part = docs.select("text", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(batches)), F.lit(0)).alias("run"))
+        runs = self._keys(part, "run").groupBy("h1", "h2", "run").agg(F.count("*").alias("n"))
+        for run in self._write(runs, 0, batches):
+            self._push(0, run)
 
     def common(self, documents: int) -> DataFrame:
         """h1, h2 of the keys in at least `documents` documents, over all runs."""
-        paths = self._present([p for level in self.levels for p in level])
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long")
-        counts = self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        counts = self._read([r for level in self.levels for r in level]).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
         return counts.where(F.col("n") >= documents).select("h1", "h2")
 
     def clean(self, docs: DataFrame, documents: int) -> DataFrame:
@@ -122,7 +110,7 @@ class LineRuns:
 def drop_common_lines(docs: DataFrame, documents: int = 10, least: int = 1, batches: int = 4, fan_in: int = 4) -> DataFrame:
     """The rows without lines whose key is in at least `documents` of them (see `LineRuns.clean`)."""
     runs = LineRuns(docs.sparkSession, fan_in, least)
-    runs.add_batches(docs, batches)
+    runs.add(docs, batches)
     return runs.clean(docs, documents)
 
 
