@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, lang_id, line_dedup, packing, simhash, suffix_dedup, token_output, topk, url_filter
+from . import chat_format, decontam, lang_id, line_dedup, packing, simhash, suffix_dedup, token_output, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         topk.op6_exact_top_k,
         packing.op7_best_fit_packing,
         suffix_dedup.op8_suffix_dedup,
+        decontam.op9_benchmark_decontamination,
         token_output.op10_token_output,
     ]
     return {f.__name__: f for f in made}
