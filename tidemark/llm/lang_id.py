@@ -185,6 +185,29 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -
     return rows.mapInArrow(judge, T.StructType([*docs.select(*keep).schema.fields, *new]))
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """The rows, with all their columns, that have a language with a score of at least `least`.
+
+    Without any language learned, rows with a letter are kept.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            texts = b.column("_lid_text").to_pylist()
+            if m.langs:
+                share, sure = shares(m, texts)
+                good = share.max(1) * sure >= least
+            else:
+                good = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
+            yield b.filter(pa.array(good)).drop_columns(["_lid_text"])
+
+    return docs.withColumn("_lid_text", F.col("text")).mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """The fixed fold: crc32 of the id as text, modulo 4, is 2 (a null id is not in it)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -193,3 +193,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     alike = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
     roots = components(alike).select(F.col("node").alias("_nd_text"), F.col("root").alias("_nd_root"))
     return keyed.join(roots, "_nd_text", "left").withColumn("_nd_group", F.coalesce("_nd_root", "_nd_text")).drop("_nd_text", "_nd_root")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest id (null last)."""
+    columns = docs.columns
+    grouped = near_duplicates(docs.select("doc_id", "text"), words, similarity, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+    first = written(grouped.groupBy("_nd_group").agg(F.min(order).alias("first")), "first").select(F.col("first.doc_id").alias("_nd_id"), F.col("first.h").alias("_nd_hash"))
+    keyed = docs.withColumn("_nd_h", F.xxhash64("text"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_nd_id"]) & (keyed["_nd_h"] == first["_nd_hash"]), "left_semi")
+    # rows that repeat id and text
+    return kept.dropDuplicates(["doc_id", "_nd_h"]).select(*columns)
