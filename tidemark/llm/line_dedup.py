@@ -5,6 +5,9 @@ levels: a new batch of documents adds a run to level 0, and when a level holds `
 run of the next level. A batch is then merge-joined with the runs: lines whose key is common go, the others stay.
 Keys are compared by 128 bits of hash. The runs lie in the shared folder, so a lost executor costs a reread.
 
+With `keep_first`, the document with the smallest id (null last) among those that share a common line keeps it; else
+all lose it. Runs then carry that document as well.
+
 One document is one row, whatever its `doc_id`. Null or empty text: one empty line, which has no key and stays.
 Repeated rows count and are cleaned each. Empty tables give no rows. All columns are kept; names that begin with `_ld_`
 are the operator's own.
@@ -37,11 +40,16 @@ def _hashed(docs: DataFrame, least: int, *keep: str) -> DataFrame:
     return rows.select(*keep, "_ld_pos", F.xxhash64("_ld_key").alias("h1"), F.xxhash64(F.lit(1), "_ld_key").alias("h2"))
 
 
+def _order():
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("first")
+
+
 class LineRuns:
     """The levelled runs. `add` takes batches of documents; `clean` applies what all batches so far have shown."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = 4, least: int = 1) -> None:
-        self.spark, self.fan_in, self.least = spark, fan_in, least
+    def __init__(self, spark: SparkSession, fan_in: int = 4, least: int = 1, keep_first: bool = False) -> None:
+        self.spark, self.fan_in, self.least, self.keep_first = spark, fan_in, least, keep_first
+        self.more = ", first struct<none:boolean,doc_id:bigint,h:bigint>" if keep_first else ""
         self.levels: list[list[tuple[str, int]]] = [[]]  # of runs: the table that a run lies in, and its number there
 
     def _read(self, runs: list[tuple[str, int]]) -> DataFrame:
@@ -49,12 +57,16 @@ class LineRuns:
         tables: dict[str, list[int]] = {}
         for path, run in runs:
             tables.setdefault(path, []).append(run)
-        rows = [self.spark.read.schema("run int, h1 long, h2 long, n long").parquet(p).where(F.col("run").isin(k)) for p, k in tables.items()]
-        return functools.reduce(DataFrame.union, rows, self.spark.createDataFrame([], "run int, h1 long, h2 long, n long")).select("h1", "h2", "n")
+        rows = [self.spark.read.schema(f"run int, h1 long, h2 long, n long{self.more}").parquet(p).where(F.col("run").isin(k)) for p, k in tables.items()]
+        return functools.reduce(DataFrame.union, rows).drop("run")
+
+    def _merged(self, runs: list[tuple[str, int]]) -> DataFrame:
+        first = [F.min("first").alias("first")] if self.keep_first else []
+        return self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"), *first)
 
     def _write(self, rows: DataFrame, level: int, runs: int = 1) -> list[tuple[str, int]]:
         path = scratch(self.spark, f"lines-l{level}")
-        rows.select(F.col("run").cast("int").alias("run"), "h1", "h2", "n").sortWithinPartitions("run", "h1", "h2").write.parquet(path)
+        rows.withColumn("run", F.col("run").cast("int")).sortWithinPartitions("run", "h1", "h2").write.parquet(path)
         return [(path, k) for k in range(runs)]
 
     def _push(self, level: int, run: tuple[str, int]) -> None:
@@ -64,8 +76,7 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
-            merged = self._read(full).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-            self._push(level + 1, self._write(merged.withColumn("run", F.lit(0)), level + 1)[0])
+            self._push(level + 1, self._write(self._merged(full).withColumn("run", F.lit(0)), level + 1)[0])
 
     def _keys(self, docs: DataFrame, *keep: str) -> DataFrame:
         """keep, h1, h2 of every distinct key of each document."""
@@ -78,15 +89,19 @@ class LineRuns:
 
         With more than one batch, the rows are dealt to batches by text; one pass over them writes the runs of all.
         """
-        part = docs.select("text", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(batches)), F.lit(0)).alias("run"))
-        runs = self._keys(part, "run").groupBy("h1", "h2", "run").agg(F.count("*").alias("n"))
+        part = docs.select("text", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(batches)), F.lit(0)).alias("run"), *([_order()] if self.keep_first else []))
+        first = [F.min("first").alias("first")] if self.keep_first else []
+        runs = self._keys(part, "run", *(["first"] if self.keep_first else [])).groupBy("h1", "h2", "run").agg(F.count("*").alias("n"), *first)
         for run in self._write(runs, 0, batches):
             self._push(0, run)
 
     def common(self, documents: int) -> DataFrame:
-        """h1, h2 of the keys in at least `documents` documents, over all runs."""
-        counts = self._read([r for level in self.levels for r in level]).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return counts.where(F.col("n") >= documents).select("h1", "h2")
+        """h1, h2 (and first) of the keys in at least `documents` documents, over all runs."""
+        runs = [r for level in self.levels for r in level]
+        if not runs:
+            none = self.spark.range(0).select(F.col("id").alias("h1"), F.col("id").alias("h2"))
+            return none.withColumn("first", F.struct(F.lit(False).alias("none"), F.col("h1").alias("doc_id"), F.col("h1").alias("h"))) if self.keep_first else none
+        return self._merged(runs).where(F.col("n") >= documents).drop("n")
 
     def clean(self, docs: DataFrame, documents: int) -> DataFrame:
         """docs with `text` without common lines, and _ld_lines, _ld_dropped: numbers of lines before, and of those gone.
@@ -95,7 +110,12 @@ class LineRuns:
         """
         docs = docs.withColumn("_ld_h", F.xxhash64("text"))
         lines = _hashed(docs, self.least, "doc_id", "_ld_h")
-        drop = lines.join(self.common(documents), ["h1", "h2"], "left_semi")
+        common = self.common(documents)
+        if self.keep_first:
+            mine = F.col("doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.col("_ld_h") == F.col("first.h"))
+            drop = lines.join(common, ["h1", "h2"]).where(~mine)
+        else:
+            drop = lines.join(common, ["h1", "h2"], "left_semi")
         drop = drop.groupBy("doc_id", "_ld_h").agg(F.collect_set("_ld_pos").alias("_ld_drop"))
         drop = drop.select(F.col("doc_id").alias("_ld_id"), F.col("_ld_h").alias("_ld_hash"), "_ld_drop")
         out = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_ld_id"]) & (docs["_ld_h"] == drop["_ld_hash"]), "left")
@@ -107,9 +127,9 @@ class LineRuns:
         return out.withColumn("text", text).drop(*own)
 
 
-def drop_common_lines(docs: DataFrame, documents: int = 10, least: int = 1, batches: int = 4, fan_in: int = 4) -> DataFrame:
+def drop_common_lines(docs: DataFrame, documents: int = 10, least: int = 1, batches: int = 4, fan_in: int = 4, keep_first: bool = False) -> DataFrame:
     """The rows without lines whose key is in at least `documents` of them (see `LineRuns.clean`)."""
-    runs = LineRuns(docs.sparkSession, fan_in, least)
+    runs = LineRuns(docs.sparkSession, fan_in, least, keep_first)
     runs.add(docs, batches)
     return runs.clean(docs, documents)
 
