@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Key
@@ -78,3 +78,29 @@ def segment_scan(segment: DataFrame, start: Key = "", end: Key = "", limit: int
 def entries(log: DataFrame) -> DataFrame:
     """All latest versions in key order, tombstones included."""
     return latest(log).orderBy("key")
+
+
+def multi_scan(log: DataFrame, ranges: DataFrame, limit: int) -> DataFrame:
+    """range_id, key, value: for each row of `ranges` (range_id, start, end; null or empty: no bound) its first `limit`
+    visible rows.
+
+    Keys and bounds are dealt by key range together and counted in order, which gives each bound the number of keys
+    below it; a range then fetches its rows by rank. Work grows with keys, ranges and rows returned, not their product.
+    """
+    view = visible(log)
+    empty = F.lit(bytearray()) if _is_binary(log) else F.lit("")
+    start = ranges.select("range_id", F.coalesce("start", empty).alias("key"), F.lit(True).alias("first"))
+    end = ranges.where(F.octet_length("end") > 0).select("range_id", F.col("end").alias("key"), F.lit(False).alias("first"))
+    keys = view.select("key", "value", F.lit(None).cast(dict(ranges.dtypes)["range_id"]).alias("range_id"), F.lit(None).cast("boolean").alias("first"), F.lit(1).alias("is_key"))
+    bounds = start.unionByName(end).withColumn("value", empty).withColumn("is_key", F.lit(0))
+    # a bound sorts in front of its own key, so it counts the keys below it
+    dealt = keys.unionByName(bounds).repartitionByRange("key").sortWithinPartitions("key", "is_key").withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy("key", "is_key").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.withColumn("_own", F.coalesce(F.sum("is_key").over(own), F.lit(0)))
+    totals = dealt.groupBy("_part").agg(F.sum("is_key").alias("_n"))
+    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a part
+    ranked = counted.join(F.broadcast(before), "_part").withColumn("rank", F.col("_own") + F.col("_before"))
+    asked = ranked.where("is_key = 0").groupBy("range_id").agg(F.max(F.when(F.col("first"), F.col("rank"))).alias("a"), F.max(F.when(~F.col("first"), F.col("rank"))).alias("b"))
+    asked = asked.withColumn("b", F.least(F.col("a") + limit, F.coalesce(F.col("b"), F.col("a") + limit)) - 1).where("a <= b")
+    asked = asked.select("range_id", F.explode(F.sequence("a", "b")).alias("rank"))
+    return asked.join(ranked.where("is_key = 1").select("rank", "key", "value"), "rank").select("range_id", "key", "value")

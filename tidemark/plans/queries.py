@@ -207,3 +207,15 @@ def q26_byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q27_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as of a sequence (an extension)."""
     return resolve.visible(events_log(spark, sf_dir).where(F.col("sequence") <= 5000))
+
+
+_RANGES = "(SELECT c_custkey AS range_id, 'user:' || lpad(CAST(c_custkey % 150 AS VARCHAR), 6, '0') AS start, 'user:' || lpad(CAST(c_custkey % 150 + 40 AS VARCHAR), 6, '0') AS stop FROM customer)"
+
+
+@_query(_with(f"SELECT range_id, key, value FROM {_RANGES} r JOIN (SELECT key, value FROM {_latest('l1')} WHERE NOT tombstone) v ON v.key >= r.start AND v.key < r.stop QUALIFY row_number() OVER (PARTITION BY range_id ORDER BY key) <= 10"))
+def q28_multi_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range for each customer, ten rows at most from each (an extension)."""
+    name = lambda n: F.concat(F.lit("user:"), F.lpad(n.cast("string"), 6, "0"))
+    at = F.col("c_custkey") % 150
+    ranges = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("range_id"), name(at).alias("start"), name(at + 40).alias("end"))
+    return reads.multi_scan(events_log(spark, sf_dir), ranges, 10)

@@ -28,6 +28,8 @@ class Files:
         self._fs.mkdirs(self._path(name))
 
     def names(self, folder: str) -> list[str]:
+        if self.local:
+            return sorted(n for n in os.listdir(f"{self.local}/{folder}") if not n.endswith(".tmp")) if os.path.isdir(f"{self.local}/{folder}") else []
         at = self._path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
@@ -58,7 +60,7 @@ class Files:
             finally:
                 os.unlink(part)
             if sync:
-                self.sync_folder(os.path.dirname(name))
+                _sync(os.path.dirname(whole))
             return True
         stream = self._fs.create(self._path(temporary), False)
         try:
@@ -77,11 +79,18 @@ class Files:
             return
         for top, _, files in os.walk(f"{self.local}/{name}"):
             for f in [*(os.path.join(top, x) for x in files), top]:
-                handle = os.open(f, os.O_RDONLY)
-                try:
-                    os.fsync(handle)
-                finally:
-                    os.close(handle)
+                _sync(f)
 
     def delete(self, name: str) -> None:
+        if self.local and os.path.isfile(f"{self.local}/{name}"):
+            os.unlink(f"{self.local}/{name}")
+            return
         self._fs.delete(self._path(name), True)
+
+
+def _sync(path: str) -> None:
+    handle = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(handle)
+    finally:
+        os.close(handle)

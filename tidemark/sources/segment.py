@@ -49,9 +49,9 @@ class Segment:
         self.spark, self.files, self.info, self.binary = spark, files, info, binary
         self._words: np.ndarray | None = None
 
-    @property
-    def schema(self) -> T.StructType:
-        return T.StructType([*entry_schema(self.binary).fields, T.StructField("crc", T.LongType(), False)])
+    @staticmethod
+    def columns(binary: bool) -> T.StructType:
+        return T.StructType([*entry_schema(binary).fields, T.StructField("crc", T.LongType(), False)])
 
     @classmethod
     def create(cls, spark: SparkSession, files: Files, id: int, rows: DataFrame, binary: bool = False, sync: bool = False, rows_per_file: int = 4_000_000, count: int | None = None) -> Segment:
@@ -64,12 +64,13 @@ class Segment:
         rows = rows.select("key", "sequence", "tombstone", "value").withColumn("crc", codec.checksum())
         count = rows.count() if count is None else count
         size = bloom.size(count)
-        out = rows.repartitionByRange(max(1, -(-count // rows_per_file)), "key").sortWithinPartitions("key")
+        parts = -(-count // rows_per_file)
+        out = (rows.coalesce(1) if parts <= 1 else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
         out.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, min(count, rows_per_file)))).parquet(files.path(f"{folder}/rows"))
-        written = spark.read.parquet(files.path(f"{folder}/rows"))
-        s = written.agg(F.count("*").alias("n"), F.max("sequence").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
-        repeated = written.groupBy("key").count().where("count > 1").limit(1).count()
-        if not s.n or repeated:
+        written = spark.read.schema(cls.columns(binary)).parquet(files.path(f"{folder}/rows"))
+        own = written.groupBy("key").agg(F.count("*").alias("n"), F.max("sequence").alias("last"))
+        s = own.agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.max("last").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+        if not s.n or s["keys"] != s.n:
             files.delete(folder)
             raise ValueError("a segment has one row for each key, and at least one")
         bloom.build(written, size).coalesce(1 if size.bits <= 64 * HELD_WORDS else 64).sortWithinPartitions("word").write.parquet(files.path(f"{folder}/bloom"))
@@ -80,7 +81,7 @@ class Segment:
 
     def rows(self) -> DataFrame:
         """key, sequence, tombstone, value, crc."""
-        return self.spark.read.schema(self.schema).parquet(self.files.path(f"{self.info.folder}/rows"))
+        return self.spark.read.schema(self.columns(self.binary)).parquet(self.files.path(f"{self.info.folder}/rows"))
 
     def entries(self) -> DataFrame:
         return reads.segment_scan(self.rows())
