@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import tempfile
 import uuid
@@ -83,8 +84,8 @@ def chunks(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
 #: Texts made of these characters alone are split into pre-tokens here; on them Python's classes agree with the
 #: tokenizer's. All other texts go through the tokenizer whole.
 _UNSURE = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ–-…]")
-#: The byte-level pre-tokenizer's published pattern, in Python's syntax.
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The byte-level pre-tokenizer's published pattern, in Python's syntax, with the most frequent case in front.
+_PRE_TOKEN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: A single space between two letters always starts a pre-token, so a text may be cut in front of it.
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 _PIECE = 1 << 18
@@ -93,8 +94,8 @@ _PIECE = 1 << 18
 class _Slots(dict):
     """Pre-token to slot; an unseen one gets the next slot and waits to be encoded."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, *old: Iterable) -> None:
+        super().__init__(*old)
         self.waiting: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -107,69 +108,95 @@ class Encoder:
     """Whole texts to ids with the `tokenizers` library, without special tokens.
 
     Byte-level BPE never merges over a pre-token's end, so each distinct pre-token is encoded once and its ids are
-    looked up afterwards; `most` bounds the table, which starts again when full. Long texts are handled piece by
-    piece, cut where a pre-token begins.
+    looked up afterwards. `most` bounds the table: when it is full, pre-tokens seen once go. Long texts are handled
+    piece by piece, cut where a pre-token begins.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        # byte-level vocabularies write a byte as a letter: itself if it is visible, else the next from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in seen)}
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots, self.flat, self.used, self.known = _Slots(), np.zeros(1 << 16, np.uint32), 0, 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._keep(None)
+
+    def _keep(self, which: np.ndarray | None) -> None:
+        """Keep these slots; None: none."""
+        if which is None:
+            self.slots, self.flat, self.used = _Slots(), np.zeros(1 << 16, np.uint32), 0
+            self.start, self.length, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+            return
+        words = list(self.slots)
+        self.slots = _Slots(zip((words[i] for i in which.tolist()), range(len(which)), strict=True))
+        n = self.length[which]
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.start[which] - (ends - n), n)]
+        self.used, self.start, self.length, self.hits = len(self.flat), ends - n, n, np.zeros(len(n), np.int64)
 
     def _learn(self) -> None:
+        """Encode the waiting pre-tokens with the tokenizer's model."""
         words, self.slots.waiting = self.slots.waiting, []
-        ids = self._whole(words)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        while self.used + n.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(ids) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + n.sum()] = np.fromiter((i for x in ids for i in x), np.uint32, n.sum())
-        self.length[self.known : self.known + len(ids)] = n
-        self.start[self.known : self.known + len(ids)] = self.used + np.cumsum(n) - n
-        self.used += int(n.sum())
-        self.known += len(ids)
-
-    def _piece(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if _UNSURE.search(text) or any(s in text for s in self.special):
-            return np.array(self._whole([text])[0], np.uint32)
-        words = _PRE_TOKEN.findall(text)
-        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        known = len(self.slots) - len(words)
+        tokenize, letters = self.model.tokenize, self.letters
+        lists = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, n.sum())
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
+        while len(self.slots) > len(self.start):
+            self.start, self.length, self.hits = (np.concatenate([x, np.zeros(len(x) + len(words), np.int64)]) for x in (self.start, self.length, self.hits))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[known : len(self.slots)], self.length[known : len(self.slots)] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+
+    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
+        words = [_PRE_TOKEN.findall(t) for t in texts]
+        ends = np.cumsum([0, *map(len, words)])
+        slot = np.fromiter(map(self.slots.__getitem__, itertools.chain.from_iterable(words)), np.int64, ends[-1])
         if self.slots.waiting:
             self._learn()
         n = self.length[slot]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.start[slot] - (ends - n), n)
+        after = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.arange(after[-1]) + np.repeat(self.start[slot] - after[:-1], n)]
+        if len(slot):
+            seen = np.bincount(slot, minlength=len(self.hits))
+            self.hits += seen
         if len(self.slots) > self.most:
-            out = self.flat[at]
-            self.clear()
-            return out
-        return self.flat[at]
+            often = np.flatnonzero(self.hits[: len(self.slots)] > 1)
+            self._keep(often if 0 < len(often) < self.most // 2 else None)
+        return np.split(ids, after[ends[1:-1]]) if len(texts) > 1 else [ids]
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each whole text (None: of the empty text), as unsigned 32-bit integers."""
+        for group in chunks((t or "" for t in texts), _PIECE):
+            parts: list[list[int]] = []
+            pieces: list[str] = []
+            for t in group:
+                own, at = [], 0
+                while at < len(t):
+                    cut = _CUT.search(t, at + _PIECE) if len(t) - at > _PIECE else None
+                    end = cut.start() if cut else len(t)
+                    own.append(len(pieces))
+                    pieces.append(t[at:end])
+                    at = end
+                parts.append(own)
+            whole = [i for i, t in enumerate(pieces) if _UNSURE.search(t) or any(s in t for s in self.special)]
+            ids: dict[int, np.ndarray] = {}
+            if whole:
+                made = self.tokenizer.encode_batch_fast([pieces[i] for i in whole], add_special_tokens=False)
+                ids = {i: np.array(e.ids, np.uint32) for i, e in zip(whole, made, strict=True)}
+            rest = [i for i in range(len(pieces)) if i not in ids]
+            for some in (rest[k : k + 256] for k in range(0, len(rest), 256)):
+                ids |= dict(zip(some, self._pieces([pieces[i] for i in some]), strict=True))
+            for own in parts:
+                yield ids[own[0]] if len(own) == 1 else np.concatenate([np.zeros(0, np.uint32), *(ids[i] for i in own)])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Ids of one whole text (None: of the empty text), as unsigned 32-bit integers."""
-        text = text or ""
-        if len(text) <= _PIECE:
-            return self._piece(text)
-        parts, at = [], 0
-        while at < len(text):
-            cut = _CUT.search(text, at + _PIECE)
-            end = cut.start() if cut else len(text)
-            parts.append(self._piece(text[at:end]))
-            at = end
-        return np.concatenate(parts)
+        return next(self.many([text]))
 
 
 @functools.cache

@@ -104,8 +104,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         enc = encoder(tokenizer)
         for b in batches:
             rows: list[list[int]] = [[], [], [], [], []]
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.append(enc(t.as_py()), np.uint32(end_id)).astype("<u4")
+            for i, ids in zip(b.column("doc_id").to_pylist(), enc.many(b.column("text").to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start, n = 0, len(ids) % capacity or capacity
                 for k in range(-(-len(ids) // capacity)):
                     for column, v in zip(rows, (i, k, start, n, zlib.crc32(ids[start : start + n])), strict=True):

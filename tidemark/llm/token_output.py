@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, scratch, small_batches
+from .common import encoder, scratch, small_batches, written
 
 SCHEMA = "part int, pos long, doc_id long, ids array<int>"
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
@@ -34,8 +34,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, pos = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = b.column("text")
-            ids = [np.append(enc(t.as_py()), np.uint32(end_id)) for t in texts]
+            ids = [np.append(x, np.uint32(end_id)) for x in enc.many(b.column("text").to_pylist())]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             n = len(ids)
@@ -69,7 +68,8 @@ def with_starts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("pos"), b.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc)], names=["part", "pos", "doc_id", "n_tokens", "ids_crc32"])
 
     small_batches(rows.sparkSession)
-    rows = rows.mapInArrow(digest, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    # written, as it is read twice: the files of ids are read once
+    rows = written(rows.mapInArrow(digest, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long"), "token-digest")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     within = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
