@@ -80,7 +80,10 @@ def _search(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, list
     """query_id, vec_id, score: each task's k best at most, for one block of queries."""
     spark = rows.sparkSession
     lengths = sorted({len(v) for _, v in queries})
-    by_length = {d: (np.array([i for i, v in queries if len(v) == d], np.int64), np.array([v for _, v in queries if len(v) == d]).reshape(-1, d)) for d in lengths}
+    by_length = {}
+    for d in lengths:
+        own = [(i, v) for i, v in queries if len(v) == d]
+        by_length[d] = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own]).reshape(len(own), d)
     held = spark.sparkContext.broadcast(by_length)  # BLOCK queries at most
     out = "query_id long, vec_id long, score long"
 
