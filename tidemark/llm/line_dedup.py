@@ -20,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch
+from .common import ascii_lower, scratch, written
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -110,7 +110,8 @@ class LineRuns:
         """
         docs = docs.withColumn("_ld_h", F.xxhash64("text"))
         lines = _hashed(docs, self.least, "doc_id", "_ld_h")
-        common = self.common(documents)
+        # written, so that both sides of the join are exchanged for it alone and Spark can split a common key's lines
+        common = written(self.common(documents), "common-lines")
         if self.keep_first:
             mine = F.col("doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.col("_ld_h") == F.col("first.h"))
             drop = lines.join(common, ["h1", "h2"]).where(~mine)
