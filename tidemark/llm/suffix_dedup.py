@@ -13,7 +13,8 @@ stands for a run of neighbouring windows. The merge scan over the arrays sees al
 `SuffixLevels` keeps arrays of batches in levels: a new batch's array is merge-scanned with all levels, and two levels
 of one size merge into the next. `remove_repeats` is the bulk load: one batch, whose array is scanned as it is sorted.
 
-Comparisons use two 64-bit hashes (a run's gram and content, a window's gram and content). Documents are rows; a row is
+Comparisons use two 64-bit hashes (a run's gram and content, a window's gram and content; within the few thousand
+windows that a task holds at once, one of both). Documents are rows; a row is
 known by a 64-bit hash of id and text, so equal rows share their spans. Null text: empty. Texts shorter than `length`:
 untouched. Very long texts are hashed in segments. Empty tables give no rows; extra columns are ignored.
 """
@@ -35,7 +36,7 @@ LENGTH, GRAM = 200, 40
 #: Grams with more different runs than this are compared in an aggregate.
 CROWDED = 200
 #: Bytes hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _LINES = "gram long, run long, rid long, s long, n int"
 
@@ -289,9 +290,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, line
             if not table.num_rows:
                 return
             h, own, j = _window_hashes(table.column("bytes").to_pylist(), length)
-            g = table.column("gram").to_numpy().view(np.uint64)[own]
-            _, back, n = np.unique(np.stack([g, h], 1), axis=0, return_inverse=True, return_counts=True)
-            twice = (n[back.ravel()] > 1) & ~table.column("full").to_numpy(zero_copy_only=False)[own]
+            h = _mix(h + table.column("gram").to_numpy().view(np.uint64)[own] * np.uint64(0x2545F4914F6CDD1D))
+            _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+            twice = (n[back] > 1) & ~table.column("full").to_numpy(zero_copy_only=False)[own]
             own, j = own[twice], j[twice]
             new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (j[1:] != j[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
             last = np.append(new[1:], len(own)) - 1 if len(own) else new
@@ -302,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, line
         for b in batches:
             held.append(b)
             rows_held += b.num_rows
-            if rows_held >= 8192:  # whole grams only; the last may go on in the next batch
+            if rows_held >= 2048:  # whole grams only; the last may go on in the next batch
                 table = pa.Table.from_batches(held)
                 g = table.column("gram").to_numpy()
                 cut = int(np.searchsorted(g, g[-1], "left"))
