@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +64,13 @@ def may_contain(keys: DataFrame, words: DataFrame, s: BloomSize, column: str = "
     return hit.groupBy(column).agg(F.min("set").alias("all")).where("all").select(column)
 
 
-def probe(key: Key, words: np.ndarray, s: BloomSize) -> bool:
-    """Whether a filter held as an array of words may contain a key."""
-    import xxhash
-
+def places(key: Key, s: BloomSize) -> list[int]:
+    """The key's bits, as `positions` has them."""
     h = xxhash.xxh64_intdigest(raw(key), 42)
     h1, h2 = h & 0xFFFFFFFF, (h >> 32) | 1
-    return all(int(words[(p := (h1 + i * h2) % s.bits) // 64]) >> (p % 64) & 1 for i in range(s.hashes))
+    return [(h1 + i * h2) % s.bits for i in range(s.hashes)]
+
+
+def probe(key: Key, words: np.ndarray, s: BloomSize) -> bool:
+    """Whether a filter held as an array of words may contain a key."""
+    return all(int(words[p // 64]) >> (p % 64) & 1 for p in places(key, s))

@@ -38,7 +38,7 @@ class Options:
     #: Keys and values as bytes instead of text.
     binary: bool = False
     #: Rows of a segment in a file, about.
-    rows_per_file: int = 4_000_000
+    rows_per_file: int = 500_000
 
     def __post_init__(self) -> None:
         if self.memtable_max_entries < 1:

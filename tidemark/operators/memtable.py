@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Entry, Key, entry_schema, raw
@@ -38,4 +39,11 @@ class Memtable:
         return len(self.rows)
 
     def frame(self, spark: SparkSession, binary: bool = False) -> DataFrame:
-        return spark.createDataFrame([(e.key, e.sequence, e.tombstone, e.value) for e in self.entries()], entry_schema(binary))
+        return frame_of(spark, self.entries(), binary)
+
+
+def frame_of(spark: SparkSession, entries: list[Entry], binary: bool = False) -> DataFrame:
+    """A few entries as a frame."""
+    kind = pa.binary() if binary else pa.string()
+    columns = [pa.array([getattr(e, c) for e in entries], k) for c, k in (("key", kind), ("sequence", pa.int64()), ("tombstone", pa.bool_()), ("value", kind))]
+    return spark.createDataFrame(pa.table(columns, names=["key", "sequence", "tombstone", "value"]), entry_schema(binary))

@@ -1,7 +1,7 @@
 """Segments: immutable tables sorted by key, one version per key, with row checksums and a Bloom filter.
 
 A segment is a folder: `rows` is Parquet, dealt into files by key range and sorted in each, with Parquet's own Bloom
-filter on the key; `bloom` is the filter as a table of words for probes without opening `rows`.
+filter on the key; `bloom.words` (small filters) or `bloom` (a table of words) is probed without opening `rows`.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import bloom, codec
 from ..model import CorruptionError, Key, entry_schema, raw
 from ..operators import reads
+from ..operators.memtable import Memtable
 from .files import Files
 
 #: A filter of this many words at most is held on the driver (1 MiB); of a larger one, the words asked for are read.
@@ -54,30 +55,68 @@ class Segment:
         return T.StructType([*entry_schema(binary).fields, T.StructField("crc", T.LongType(), False)])
 
     @classmethod
-    def create(cls, spark: SparkSession, files: Files, id: int, rows: DataFrame, binary: bool = False, sync: bool = False, rows_per_file: int = 4_000_000, count: int | None = None) -> Segment:
-        """Write rows (key, sequence, tombstone, value; one per key) and read them again for verification.
+    def create(cls, spark: SparkSession, files: Files, id: int, rows: DataFrame, binary: bool = False, sync: bool = False, rows_per_file: int = 500_000, most: int | None = None, trusted: bool = False) -> Segment:
+        """Write rows (key, sequence, tombstone, value; one per key), and read them again.
 
-        Repeated keys raise ValueError, as does an empty frame, and leave nothing behind that a manifest knows.
+        most: an upper bound of the number of rows, if known. Repeated keys raise ValueError (they are looked for unless
+        `trusted`: rows of an aggregate by key), as does an empty frame; no manifest knows what is left then.
         """
         folder = f"segments/{id:020d}"
         files.delete(folder)
         rows = rows.select("key", "sequence", "tombstone", "value").withColumn("crc", codec.checksum())
-        count = rows.count() if count is None else count
-        size = bloom.size(count)
-        parts = -(-count // rows_per_file)
-        out = (rows.coalesce(1) if parts <= 1 else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
-        out.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, min(count, rows_per_file)))).parquet(files.path(f"{folder}/rows"))
-        written = spark.read.schema(cls.columns(binary)).parquet(files.path(f"{folder}/rows"))
-        own = written.groupBy("key").agg(F.count("*").alias("n"), F.max("sequence").alias("last"))
-        s = own.agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.max("last").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+        most = rows.count() if most is None else most
+        written = cls._written(spark, files, folder, rows, binary, rows_per_file, most)
+        if trusted:
+            s = written.agg(F.count("*").alias("n"), F.count("*").alias("keys"), F.max("sequence").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+        else:
+            own = written.groupBy("key").agg(F.count("*").alias("n"), F.max("sequence").alias("last"))
+            s = own.agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.max("last").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
         if not s.n or s["keys"] != s.n:
             files.delete(folder)
             raise ValueError("a segment has one row for each key, and at least one")
-        bloom.build(written, size).coalesce(1 if size.bits <= 64 * HELD_WORDS else 64).sortWithinPartitions("word").write.parquet(files.path(f"{folder}/bloom"))
-        if sync:
-            files.sync_folder(folder)
+        size = bloom.size(s.n)
+        words = bloom.build(written, size)
+        held = None
+        if size.bits <= 64 * HELD_WORDS:
+            held = np.zeros(size.bits // 64, np.uint64)
+            found = words.toArrow()
+            held[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        else:
+            words.repartitionByRange(64, "word").sortWithinPartitions("word").write.parquet(files.path(f"{folder}/bloom"))
         low, high = (raw(bytes(x) if isinstance(x, bytearray) else x).hex() for x in (s.low, s.high))
-        return cls(spark, files, SegmentInfo(id, s.n, s.last, low, high, size.bits, size.hashes), binary)
+        return cls._opened(spark, files, SegmentInfo(id, s.n, s.last, low, high, size.bits, size.hashes), binary, sync, held)
+
+    @classmethod
+    def of_memtable(cls, spark: SparkSession, files: Files, id: int, table: Memtable, binary: bool = False, sync: bool = False) -> Segment:
+        """The segment of a memtable: the driver has its rows, so only the write is a job."""
+        entries = table.entries()
+        folder, size = f"segments/{id:020d}", bloom.size(len(entries))
+        files.delete(folder)
+        cls._written(spark, files, folder, table.frame(spark, binary).withColumn("crc", codec.checksum()), binary, len(entries), len(entries))
+        held = np.zeros(size.bits // 64, np.uint64)
+        for e in entries:
+            for at in bloom.places(e.key, size):
+                held[at // 64] |= np.uint64(1 << at % 64)
+        low, high = raw(entries[0].key).hex(), raw(entries[-1].key).hex()
+        return cls._opened(spark, files, SegmentInfo(id, len(entries), max(e.sequence for e in entries), low, high, size.bits, size.hashes), binary, sync, held)
+
+    @classmethod
+    def _written(cls, spark: SparkSession, files: Files, folder: str, rows: DataFrame, binary: bool, rows_per_file: int, most: int) -> DataFrame:
+        parts = -(-most // rows_per_file)
+        out = (rows.coalesce(1) if parts <= 1 else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
+        path = files.path(f"{folder}/rows")
+        out.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, min(most, rows_per_file)))).parquet(path)
+        return spark.read.schema(cls.columns(binary)).parquet(path)
+
+    @classmethod
+    def _opened(cls, spark: SparkSession, files: Files, info: SegmentInfo, binary: bool, sync: bool, held: np.ndarray | None) -> Segment:
+        if held is not None:
+            files.publish(f"{info.folder}/bloom.words", held.astype("<u8").tobytes(), sync)
+        if sync:
+            files.sync_folder(info.folder)
+        out = cls(spark, files, info, binary)
+        out._words = held
+        return out
 
     def rows(self) -> DataFrame:
         """key, sequence, tombstone, value, crc."""
@@ -96,14 +135,11 @@ class Segment:
 
     def may_contain(self, key: Key) -> bool:
         size = bloom.BloomSize(self.info.bits, self.info.hashes)
-        words = self.spark.read.schema("word long, bits long").parquet(self.files.path(f"{self.info.folder}/bloom"))
         if size.bits <= 64 * HELD_WORDS:
             if self._words is None:
-                held = np.zeros(size.bits // 64, np.uint64)
-                found = words.toPandas()
-                held[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-                self._words = held
+                self._words = np.frombuffer(self.files.read(f"{self.info.folder}/bloom.words"), "<u8")
             return bloom.probe(key, self._words, size)
+        words = self.spark.read.schema("word long, bits long").parquet(self.files.path(f"{self.info.folder}/bloom"))
         asked = self.spark.range(1).select(F.lit(raw(key) if self.binary else key).alias("key"))
         return not bloom.may_contain(asked, words, size).isEmpty()
 
