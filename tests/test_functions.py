@@ -59,6 +59,18 @@ def test_encoding_and_checksums(spark):
         assert codec.decode(want) == Entry(s, t, k, v)
 
 
+def test_columns_decode_what_is_encoded(spark):
+    entries = [Entry(1, False, b"k", b"v"), Entry(2**40 + 5, True, "é".encode(), b""), Entry(255, False, b"x" * 300, b"y" * 70_000), Entry(0, False, b"", b"")]
+    good = [codec.encode(e) for e in entries]
+    bad = [b"", good[0][:-1], good[0] + b"z", b"\x02" + good[0][1:], good[0][:16], b"\x00" + b"\xff" * 8 + good[0][9:]]
+    rows = spark.createDataFrame([(bytearray(b),) for b in good + bad], "b binary").select(codec.decoded(F.col("b")).alias("e")).collect()
+    assert [Entry(r.e.sequence, r.e.tombstone, bytes(r.e.key), bytes(r.e.value)) for r in rows[:4]] == entries
+    assert [r.e for r in rows[4:]] == [None] * 6
+    for size, n in ((1, 200), (2, 40_000), (4, 2**31 + 7), (8, 2**62 + 9)):
+        r = spark.range(1).select(codec.little_endian(F.lit(n), size).alias("b")).select("b", codec.read_little_endian(F.col("b"), 0, size).alias("n")).first()
+        assert (bytes(r.b), r.n) == (n.to_bytes(size, "little"), n)
+
+
 @given(st.binary(max_size=40))
 def test_decoding_is_strict(data):
     try:

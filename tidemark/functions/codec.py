@@ -27,6 +27,22 @@ def encoded(key: Column, sequence: Column, tombstone: Column, value: Column) ->
     return F.concat(little_endian(tombstone.cast("int"), 1), little_endian(sequence, 8), little_endian(F.octet_length(key), 4), little_endian(F.octet_length(value), 4), key.cast("binary"), value.cast("binary"))
 
 
+def read_little_endian(data: Column, at: int, size: int) -> Column:
+    """The number in `size` bytes from byte `at` (from 0); null if there are fewer, or if it exceeds a long."""
+    digits = F.concat(*(F.hex(F.substring(data, at + 1 + k, 1)) for k in reversed(range(size))))
+    number = F.conv(digits, 16, 10).try_cast("long")
+    return F.when(F.octet_length(data) >= at + size, number)
+
+
+def decoded(data: Column) -> Column:
+    """key, sequence, tombstone, value (key and value as bytes) of encoded entries; null for bytes that are no entry."""
+    flag, sequence, k, v = (read_little_endian(data, at, n) for at, n in ((0, 1), (1, 8), (9, 4), (13, 4)))
+    whole = (flag <= 1) & (F.octet_length(data) == k + v + _HEAD.size) & sequence.isNotNull()
+    key = F.substring(data, F.lit(_HEAD.size + 1), k.cast("int"))
+    value = F.substring(data, (k + _HEAD.size + 1).cast("int"), v.cast("int"))
+    return F.when(whole, F.struct(key.alias("key"), sequence.alias("sequence"), (flag == 1).alias("tombstone"), value.alias("value")))
+
+
 def checksum(key: str = "key", sequence: str = "sequence", tombstone: str = "tombstone", value: str = "value") -> Column:
     """CRC-32 of the entry's bytes."""
     return F.crc32(encoded(F.col(key), F.col(sequence), F.col(tombstone), F.col(value)))
