@@ -12,7 +12,7 @@ only. Equal fingerprints are collapsed beforehand, so copies cost nothing there.
 
 `near_duplicates` works at a similarity instead (Jaccard on sets of shingles). Fingerprints within a small radius find
 too few of such pairs (0.8 is about ten bits), so candidates come from the grid and from bands of a one-permutation
-min-hash as well; within a cell each member is compared with one member only, another one in each band; all candidates
+min-hash as well; within a cell each member is compared with `PICKS` members only, others in each band; all candidates
 are verified on their whole texts.
 
 Null or empty text: no words. Null ids have no part in a component's smallest id (null where all are null). Repeated
@@ -36,6 +36,8 @@ SEGMENTS = 32
 _LOW = 0x5555555555555555
 #: Min-hash: bands times rows bins. At similarity 0.8 a pair misses every band with a chance of 0.00005.
 BANDS, ROWS = 25, 5
+#: Members of a cell that all of its members are compared with.
+PICKS = 3
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -167,17 +169,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     sketches = sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     sketches = written(sketches, "sketches")
     cells = sketches.select("node", F.posexplode("keys").alias("band", "key"))
-    picked = cells.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("band", "node")).alias("other"), F.count("*").alias("n")).where(F.col("n") > 1)
-    banded = cells.join(picked.drop("n"), ["band", "key"]).where(F.col("node") != F.col("other")).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    picks = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "band", "node")) for k in range(PICKS)))
+    picked = cells.groupBy("band", "key").agg(F.array_distinct(picks).alias("picks"), F.count("*").alias("n")).where(F.col("n") > 1)
+    banded = cells.join(picked.drop("n"), ["band", "key"]).select(F.col("node").alias("a"), F.explode("picks").alias("b")).where(F.col("a") != F.col("b"))
     fps = sketches.groupBy("fp").agg(F.min("node").alias("node"))
     same = sketches.join(fps.withColumnRenamed("node", "b"), "fp").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     near = links(fps, radius)
     near = near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = banded.union(same).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
-    # the texts that occur in pairs, one row each
+    # the texts that occur in pairs, one row each; copies are collapsed before the shuffle
     asked = pairs.select(F.col("a").alias("_nd_text")).union(pairs.select(F.col("b").alias("_nd_text"))).distinct()
-    whole = written(texts.join(asked, "_nd_text", "left_semi").groupBy("_nd_text").agg(F.first("text").alias("text")), "asked")
+    whole = written(texts.groupBy("_nd_text").agg(F.first("text").alias("text")).join(asked, "_nd_text", "left_semi"), "asked")
     both = pairs.join(whole.select(F.col("_nd_text").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("_nd_text").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
