@@ -108,11 +108,11 @@ class Encoder:
     """Whole texts to ids with the `tokenizers` library, without special tokens.
 
     Byte-level BPE never merges over a pre-token's end, so each distinct pre-token is encoded once and its ids are
-    looked up afterwards. `most` bounds the table: when it is full, pre-tokens seen once go. Long texts are handled
+    looked up afterwards. `most` bounds the table: when it is full, pre-tokens of one group of texts go. Long texts are handled
     piece by piece, cut where a pre-token begins.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -162,9 +162,7 @@ class Encoder:
         n = self.length[slot]
         after = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(after[-1]) + np.repeat(self.start[slot] - after[:-1], n)]
-        if len(slot):
-            seen = np.bincount(slot, minlength=len(self.hits))
-            self.hits += seen
+        self.hits[slot] += 1  # once for each group of texts
         if len(self.slots) > self.most:
             often = np.flatnonzero(self.hits[: len(self.slots)] > 1)
             self._keep(often if 0 < len(often) < self.most // 2 else None)

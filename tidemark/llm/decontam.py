@@ -16,7 +16,6 @@ little and match nothing; null texts neither. Repeated rows are judged each. Emp
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -31,8 +30,8 @@ from .common import small_batches
 
 WINDOW, LEAST, COVERAGE, VERBATIM = 8, 4, 0.6, 13
 BLOCK = 16 << 20
-#: Words known to a task's table of attributes, which starts again when full.
-KNOWN = 500_000
+#: Words known to a task's table of attributes, which starts again when full and with each task.
+KNOWN = 200_000
 NUM, NAME, UNIT = 1, 2, 3
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -207,11 +206,6 @@ def find(table: Table, words: Words, text: str | None) -> list[Found]:
     return out
 
 
-@functools.cache
-def _words() -> Words:
-    return Words()
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[Table]:
     """The benchmark's table, a block of bounded size at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
@@ -232,8 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(table)  # of one block
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            words = Words()
             for b in batches:
-                rows = [(i, *f) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for f in find(held.value, _words(), t.as_py())]
+                rows = [(i, *f) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for f in find(held.value, words, t.as_py())]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "n_words", "coverage", "renamed"])
 
@@ -250,8 +245,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(table)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            words = Words()
             for b in batches:
-                clean = [not find(held.value, _words(), t.as_py()) for t in b.column("_dc_text")]
+                clean = [not find(held.value, words, t.as_py()) for t in b.column("_dc_text")]
                 yield b.filter(pa.array(clean, pa.bool_())).drop_columns(["_dc_text"])
 
         docs = docs.withColumn("_dc_text", F.col("text")).mapInArrow(keep, docs.schema)
