@@ -108,13 +108,13 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.group(odd(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 1, 4])
-def test_the_grid_loses_no_link(spark, radius):
+@pytest.mark.parametrize(("radius", "crowded"), [(0, 2000), (1, 2000), (4, 2000), (4, 1), (2, 3)])
+def test_the_grid_loses_no_link(spark, radius, crowded):
     rng = np.random.default_rng(radius)
     centres = rng.integers(0, 1 << 64, 30, np.uint64)
     fps = {int(c) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 6)))) for c in centres for _ in range(8)} | {0, (1 << 64) - 1, 1, 3}
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius).collect()
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, crowded).collect()
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
     assert Counter(map(tuple, found)) == Counter(want)
 

@@ -21,6 +21,7 @@ rows are linked like any others. Empty tables give no rows; extra columns are ke
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,6 +37,8 @@ SEGMENTS = 32
 _LOW = 0x5555555555555555
 #: Min-hash: bands times rows bins. At similarity 0.8 a pair misses every band with a chance of 0.00005.
 BANDS, ROWS = 25, 5
+#: Members of a cell of the grid beyond which it is divided again.
+CROWDED = 2000
 #: Members of a cell that all of its members are compared with.
 PICKS = 3
 
@@ -106,28 +109,59 @@ def embedding(fp: Column) -> Column:
     return a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """a, b of every pair of the distinct fingerprints `fp` that differ in at most `radius` bits, a < b."""
-    n = radius + 3
-    edges = [round(k * SEGMENTS / n) for k in range(n + 1)]
-    masks = [sum(3 << 2 * s for s in range(a, z)) for a, z in zip(edges, edges[1:], strict=False)]
-    cells = []
-    below = [0] * (1 << n)
-    for combo in combinations(range(n), 3):
-        bits = sum(1 << k for k in combo)
-        below[bits] = ((1 << combo[-1]) - 1) & ~bits
-        cells.append(F.struct(F.lit(bits).cast("short").alias("m"), F.xxhash64(F.lit(bits), F.col("u").bitwiseAND(F.lit(_signed(sum(masks[k] for k in combo))))).alias("h")))
-    rows = fps.select("fp", embedding(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.m", "c.h")
-    x, y = rows.alias("x"), rows.alias("y")
-    apart = embedding(F.col("x.fp")).bitwiseXOR(embedding(F.col("y.fp")))
-    same = F.lit(0)  # a bit for each block in which the embeddings agree
+def _blocks(segments: list[int], n: int) -> list[int]:
+    """Bit masks of the segments, dealt to n blocks."""
+    edges = [round(k * len(segments) / n) for k in range(n + 1)]
+    return [sum(3 << 2 * s for s in segments[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def _agreeing(apart: Column, masks: list[Column]) -> Column:
+    """A bit for each block in which two embeddings agree."""
+    out = F.lit(0)
     for k, m in enumerate(masks):
-        same = same.bitwiseOR(F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(1 << k)).otherwise(F.lit(0)))
-    earlier = F.get(F.array(*map(F.lit, below)), F.col("x.m").cast("int"))
-    near = (F.bit_count(apart) <= radius) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius)
-    first = (same.bitwiseAND(F.col("x.m").cast("int")) == F.col("x.m").cast("int")) & (same.bitwiseAND(earlier) == 0)
-    cell = (F.col("x.h") == F.col("y.h")) & (F.col("x.m") == F.col("y.m"))
-    return x.join(y, cell & (F.col("x.fp") < F.col("y.fp")) & near & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        out = out.bitwiseOR(F.when(apart.bitwiseAND(m) == 0, F.lit(1 << k)).otherwise(F.lit(0)))
+    return out
+
+
+def links(fps: DataFrame, radius: int = 4, crowded: int = CROWDED) -> DataFrame:
+    """a, b of every pair of the distinct fingerprints `fp` that differ in at most `radius` bits, a < b.
+
+    The members of a cell with more than `crowded` of them are dealt to cells of a second grid, on three of `radius + 3`
+    blocks of the segments that the first cell leaves open: the same argument holds for these.
+    """
+    n = radius + 3
+    combos = [sum(1 << k for k in c) for c in combinations(range(n), 3)]
+    below = F.array(*(F.lit(((1 << m.bit_length() - 1) - 1) & ~m if m in combos else 0) for m in range(1 << n)))
+    masks = _blocks(list(range(SEGMENTS)), n)
+
+    def covered(blocks: list[int], combo: int) -> int:
+        return sum(x for k, x in enumerate(blocks) if combo >> k & 1)
+
+    rows = fps.select("fp", embedding(F.col("fp")).alias("u"))
+    cells = [F.struct(F.lit(m).alias("m"), F.xxhash64(F.lit(m), F.col("u").bitwiseAND(F.lit(_signed(covered(masks, m))))).alias("h")) for m in combos]
+    rows = rows.select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", F.col("c.m").cast("short").alias("m"), "c.h")
+    full = written(rows.groupBy("m", "h").count().where(F.col("count") > crowded).select("m", "h"), "crowded")
+
+    def pairs(cells: DataFrame, on: list[str], inner: bool) -> DataFrame:
+        x, y = cells.alias("x"), cells.alias("y")
+        apart = embedding(F.col("x.fp")).bitwiseXOR(embedding(F.col("y.fp")))
+        m = F.col("x.m").cast("int")
+        same = _agreeing(apart, [F.lit(_signed(k)) for k in masks])
+        near = (F.bit_count(apart) <= radius) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius)
+        first = (same.bitwiseAND(m) == m) & (same.bitwiseAND(F.get(below, m)) == 0)
+        if inner:
+            m2 = F.col("x.m2").cast("int")
+            same2 = _agreeing(apart, [F.get(F.get(open_blocks, m), F.lit(k)) for k in range(n)])
+            first = first & (same2.bitwiseAND(m2) == m2) & (same2.bitwiseAND(F.get(below, m2)) == 0)
+        cell = functools.reduce(lambda p, q: p & q, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in on))
+        return x.join(y, cell & (F.col("x.fp") < F.col("y.fp")) & near & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+    left_open = {m: _blocks([s for s in range(SEGMENTS) if not covered(masks, m) >> 2 * s & 1], n) for m in combos}
+    open_blocks = F.array(*(F.array(*(F.lit(_signed(k)) for k in left_open.get(m, [0]))) for m in range(1 << n)))
+    open_cells = F.array(*(F.array(*(F.lit(_signed(covered(left_open[m], c))) for c in combos)) if m in left_open else F.array(F.lit(0).cast("long")) for m in range(1 << n)))
+    dense = rows.join(full, ["m", "h"], "left_semi").select("fp", "m", "h", F.posexplode(F.get(open_cells, F.col("m").cast("int"))).alias("k", "mask"))
+    dense = dense.select("fp", "m", F.get(F.array(*map(F.lit, combos)), F.col("k")).cast("short").alias("m2"), F.xxhash64("h", "m", "k", embedding(F.col("fp")).bitwiseAND(F.col("mask"))).alias("h2"))
+    return pairs(rows.join(full, ["m", "h"], "left_anti"), ["h", "m"], False).union(pairs(dense, ["h2", "m", "m2"], True))
 
 
 def group(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
