@@ -263,11 +263,13 @@ def test_reparameterised_questions(spark):
         5: None,
         6: "",
         7: LONG + QUESTION,
+        8: QUESTION.upper(),
+        9: f"so {QUESTION.lower()}",
     }
     bench = spark.createDataFrame([(10, QUESTION), (11, None), (12, ""), (13, "too short"), (None, "an item without an id is still an item of the benchmark")], "item_id long, text string")
     docs = odd(spark, [*texts.items(), (1, texts[1]), (None, f"x {QUESTION}")])
     found = decontam.contaminated(docs, bench).collect()
-    assert Counter((r.doc_id, r.item_id, r.renamed) for r in found) == Counter({(1, 10, False): 2, (2, 10, True): 1, (7, 10, False): 1, (None, 10, False): 1})
+    assert Counter((r.doc_id, r.item_id, r.renamed) for r in found) == Counter({(1, 10, False): 2, (2, 10, True): 1, (7, 10, False): 1, (8, 10, False): 1, (9, 10, False): 1, (None, 10, False): 1})
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0

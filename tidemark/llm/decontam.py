@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation (operator 9).
 
 Words become template tokens: numbers, names (capitalised inside a sentence) and units (after a number) become typed
-placeholders, everything else is lower-cased. Windows of `WINDOW` template tokens of the benchmark (whole items where
+placeholders, everything else is lower-cased. Windows of lower-cased words are used beside them, as case may be lost. Windows of `WINDOW` template tokens of the benchmark (whole items where
 those are shorter) form a hash table that the documents' windows are joined with. Hits of one document and item on one
 diagonal are lined up, token by token, and their slots checked: equal names, numbers and units of the item must stand
 for equal ones in the document and different ones for different ones, else the diagonal does not count.
@@ -66,12 +66,14 @@ class _Numbers(dict):
 class Words:
     """Texts as arrays: the literal code and kind of each word, kept for each distinct one."""
 
-    def __init__(self) -> None:
+    def __init__(self, codes: np.ndarray | None = None) -> None:
+        """codes: sorted literal codes; each word is marked as one of them or not."""
+        self.codes = np.zeros(0, np.uint64) if codes is None else codes
         self.clear()
 
     def clear(self) -> None:
         self.number = _Numbers()
-        self.lower, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.lower, self.kind, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
 
     def _learn(self) -> None:
         words, self.number.waiting = self.number.waiting, []
@@ -80,17 +82,22 @@ class Words:
             room = len(self.lower) + len(words)
             self.lower = np.concatenate([self.lower, np.zeros(room, np.uint64)])
             self.kind = np.concatenate([self.kind, np.zeros(room, np.int8)])
+            self.known = np.concatenate([self.known, np.zeros(room, bool)])
         low = [w.lower() for w in words]
-        self.lower[known : len(self.number)] = np.fromiter(map(_code, low), np.uint64, len(low))
+        codes = np.fromiter(map(_code, low), np.uint64, len(low))
+        self.lower[known : len(self.number)] = codes
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            self.known[known : len(self.number)] = self.codes[at] == codes
         self.kind[known : len(self.number)] = np.fromiter(map(_kind, words, low), np.int8, len(low))
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Literal code and kind of each word."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Literal code, kind and mark of each word."""
         words = _WORD.findall(text)
         own = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if self.number.waiting:
             self._learn()
-        out = self.lower[own], self.kind[own]
+        out = self.lower[own], self.kind[own], self.known[own]
         if len(self.number) > KNOWN:
             self.clear()
         return out
@@ -110,49 +117,52 @@ def _code(word: str) -> int:
 class Table(NamedTuple):
     items: list[tuple[int | None, np.ndarray, np.ndarray, np.ndarray]]  # id, template, literals, slots
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by window length: sorted hashes, items, places
-    codes: np.ndarray  # sorted literals that occur in windows
+    codes: np.ndarray  # sorted literals of the items
 
 
-def template(words: Words, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens and literal codes of a text's words."""
-    literal, kind = words.read(text)
+def template(words: Words, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens, literal codes and marks of a text's words."""
+    literal, kind, known = words.read(text)
     end = kind == 4
     start = np.concatenate([[True], end[:-1]]) if len(end) else end
-    literal, kind, start = literal[~end], kind[~end], start[~end]
+    literal, kind, known, start = literal[~end], kind[~end], known[~end], start[~end]
     out = literal.copy()
     number = (kind & 1) > 0
     out[number] = NUM
     out[((kind & 2) > 0) & ~start & ~number] = NAME
     after = np.concatenate([[False], number[:-1]]) if len(number) else number
     out[((kind & 8) > 0) & after] = UNIT
-    return out, literal
+    return out, literal, known
 
 
-def _hashes(tokens: np.ndarray, n: int) -> np.ndarray:
-    if len(tokens) < n:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(tokens) - n + 1, np.uint64)
+def _hashes_at(tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
     for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : len(tokens) - n + 1 + k]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[at + k]
         h ^= h >> np.uint64(31)
     return h
 
 
+def _hashes(tokens: np.ndarray, n: int) -> np.ndarray:
+    return _hashes_at(tokens, np.arange(max(0, len(tokens) - n + 1)), n)
+
+
 def build(items: Sequence[tuple[int | None, str | None]]) -> Table:
     """The hash table of a block of benchmark items."""
     words, kept, found = Words(), [], {}
     codes: list[np.ndarray] = []
     for item_id, text in items:
-        tokens, literal = template(words, text or "")
+        tokens, literal, _ = template(words, text or "")
         n = min(WINDOW, len(tokens))
         if n < LEAST:
             continue
-        h = _hashes(tokens, n)
+        h, plain = _hashes(tokens, n), _hashes(literal, n)
         literals = np.convolve(tokens > UNIT, np.ones(n, int), "valid")
-        places = np.flatnonzero(2 * literals >= n)
-        found.setdefault(n, []).append((h[places], np.full(len(places), len(kept)), places))
+        # plain windows as well: they hold where case does not tell a name from another word
+        for hashes, places in ((h, np.flatnonzero(2 * literals >= n)), (plain, np.flatnonzero(plain != h))):
+            found.setdefault(n, []).append((hashes[places], np.full(len(places), len(kept)), places))
         kept.append((item_id, tokens, literal, tokens <= UNIT))
-        codes.append(tokens)
+        codes.append(literal)
     windows = {}
     for n, parts in found.items():
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -165,20 +175,20 @@ def find(table: Table, words: Words, text: str | None) -> list[Found]:
     """The items that contaminate a text."""
     if not text or not table.items:
         return []
-    tokens, literal = template(words, text)
-    known = table.codes[np.minimum(np.searchsorted(table.codes, tokens), len(table.codes) - 1)] == tokens
-    gone = np.concatenate([[0], np.cumsum(~known)])
+    tokens, literal, known = template(words, text)
     hits = []
-    for n, (hashes, item, place) in table.windows.items():
-        if len(tokens) < n:
-            continue
-        at = np.flatnonzero(gone[n:] == gone[:-n])
-        if not len(at):
-            continue
-        h = _hashes(tokens, n)[at]
-        first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        for a, x, y in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-            hits += [(int(item[i]), a - int(place[i]), int(place[i]), n) for i in range(x, y)]
+    for own, fine in ((tokens, known | (tokens <= UNIT)), (literal, known)):
+        gone = np.concatenate([[0], np.cumsum(~fine)])
+        for n, (hashes, item, place) in table.windows.items():
+            if len(own) < n:
+                continue
+            at = np.flatnonzero(gone[n:] == gone[:-n])
+            if not len(at):
+                continue
+            h = _hashes_at(own, at, n)
+            first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for a, x, y in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                hits += [(int(item[i]), a - int(place[i]), int(place[i]), n) for i in range(x, y)]
     diagonals: dict[tuple[int, int], set[int]] = {}
     for item, shift, place, n in hits:
         diagonals.setdefault((item, shift), set()).update(range(place, place + n))
@@ -226,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(table)  # of one block
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            words = Words()
+            words = Words(held.value.codes)
             for b in batches:
                 rows = [(i, *f) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for f in find(held.value, words, t.as_py())]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
@@ -245,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(table)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            words = Words()
+            words = Words(held.value.codes)
             for b in batches:
                 clean = [not find(held.value, words, t.as_py()) for t in b.column("_dc_text")]
                 yield b.filter(pa.array(clean, pa.bool_())).drop_columns(["_dc_text"])
