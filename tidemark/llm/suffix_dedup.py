@@ -27,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, written
 
 LENGTH, GRAM = 200, 40
 #: Grams with more different runs than this are compared in an aggregate.
-CROWDED = 200
+CROWDED = 20_000
 #: Bytes hashed at once.
 SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -167,15 +167,20 @@ def with_rid(docs: DataFrame) -> DataFrame:
 
 def merge_scan(lines: DataFrame) -> DataFrame:
     """The suffixes whose gram occurs again: rid, s, n, full (all windows repeated), and for those whose bytes have to
-    be compared gram and crowded (too many different runs for one task); gram is null otherwise."""
-    by_run = Window.partitionBy("gram").orderBy("run", "rid", "s")
-    by_gram = Window.partitionBy("gram")
-    lines = lines.withColumn("_new", F.when(F.lag("run").over(by_run) == F.col("run"), 0).otherwise(1))
-    lines = lines.withColumn("_last", F.when(F.lead("run").over(by_run) == F.col("run"), 0).otherwise(1))
-    lines = lines.withColumn("_all", F.count("*").over(by_gram)).withColumn("_kinds", F.sum("_new").over(by_gram))
-    lines = lines.where(F.col("_all") > 1).withColumn("full", (F.col("_new") == 0) | (F.col("_last") == 0))
-    compare = (F.col("_kinds") > 1) & (F.col("_new") == 1)
-    return lines.select("rid", "s", "n", "full", F.when(compare, F.col("gram")).alias("gram"), (F.col("_kinds") > CROWDED).alias("crowded"))
+    be compared gram and crowded (too many different runs for one task); gram is null otherwise.
+
+    Grams and runs are counted by aggregates with partial sums, and the counts joined back, so that a gram which a third
+    of all documents has is split over tasks. Unique grams, more than half of all, go first.
+    """
+    shared = lines.groupBy("gram").count().where(F.col("count") > 1).select("gram")
+    near = written(lines.join(written(shared, "shared"), "gram"), "near")
+    runs = near.groupBy("gram", "run").agg(F.count("*").alias("m"), F.min(F.struct("rid", "s", "n")).alias("own"))
+    runs = written(runs, "runs")
+    kinds = written(runs.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "kinds")
+    full = near.join(runs.where(F.col("m") > 1).select("gram", "run"), ["gram", "run"])
+    full = full.select("rid", "s", "n", F.lit(True).alias("full"), F.lit(None).cast("long").alias("gram"), F.lit(False).alias("crowded"))
+    compare = runs.join(kinds, "gram").select("own.rid", "own.s", "own.n", (F.col("m") > 1).alias("full"), "gram", (F.col("kinds") > CROWDED).alias("crowded"))
+    return full.unionByName(compare)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,7 +238,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, line
     small_batches(spark)
     rows = with_rid(docs)
     found = written(merge_scan(suffixes(rows, length, gram) if lines is None else lines), "repeated")
-    span = F.when(F.col("full"), F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b")))
+    span = F.when(F.col("full") & F.col("gram").isNull(), F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b")))
     edge = F.when(F.col("gram").isNotNull(), F.struct("gram", "crowded", "full", "s", "n"))
     per_row = found.groupBy("rid").agg(F.collect_set(span).alias("spans"), F.collect_set(edge).alias("edges"))
 
@@ -280,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, line
     joined = squeezed.join(per_row, "rid", "left").select("rid", "doc_id", "z", "spans", "edges")
     seen = written(joined.mapInArrow(first, kind), "seen")
 
-    contexts = seen.where(F.col("z").isNotNull()).select("rid", F.explode("edges").alias("e")).select("rid", "e.*").dropDuplicates(["rid", "gram", "s"])
+    contexts = seen.where(F.col("z").isNotNull()).select("rid", F.explode("edges").alias("e")).select("rid", "e.*")
     few = contexts.where(~F.col("crowded")).select("gram", "rid", "s", "full", "bytes").repartition("gram").sortWithinPartitions("gram")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
