@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows per Arrow batch, so that a batch of long documents stays within a worker's memory.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
