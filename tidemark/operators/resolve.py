@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def latest(log: DataFrame) -> DataFrame:
     """key, sequence, tombstone, value of each key's greatest sequence, tombstones included (compaction, memtable)."""
-    last = F.max_by(F.struct("sequence", "tombstone", "value"), "sequence").alias("last")
+    last = F.max(F.struct("sequence", "tombstone", "value")).alias("last")
     return log.groupBy("key").agg(last).select("key", "last.sequence", "last.tombstone", "last.value")
 
 
@@ -36,7 +36,7 @@ def compacted(levels: Sequence[DataFrame]) -> DataFrame:
 
 def flushed(log: DataFrame, level: str) -> DataFrame:
     """Versions collapsed within each level: `level`, key, sequence, tombstone, value."""
-    last = F.max_by(F.struct("sequence", "tombstone", "value"), "sequence").alias("last")
+    last = F.max(F.struct("sequence", "tombstone", "value")).alias("last")
     return log.groupBy(level, "key").agg(last).select(level, "key", "last.sequence", "last.tombstone", "last.value")
 
 

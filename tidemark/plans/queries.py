@@ -160,7 +160,7 @@ def q19_flush_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q20_stats_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shuffle: versions are counted in the aggregate that resolves them."""
     log = events_log(spark, sf_dir)
-    last = F.max_by(F.struct("sequence", "tombstone"), "sequence")
+    last = F.max(F.struct("sequence", "tombstone"))
     keys = log.groupBy("key").agg(last.alias("last"), F.count("*").alias("n"))
     gone = F.col("last.tombstone")
     return keys.agg(F.max("last.sequence").alias("sequence"), F.sum("n").alias("writes"), F.count(F.when(~gone, 1)).alias("live_keys"), F.count(F.when(gone, 1)).alias("tombstones"))

@@ -34,5 +34,5 @@ def into(db: Database, order: str) -> Callable[[DataFrame, int], None]:
 
 def running_latest(log: DataFrame) -> DataFrame:
     """key, sequence, tombstone, value of a streaming log, for update or complete output mode."""
-    last = F.max_by(F.struct("sequence", "tombstone", "value"), "sequence").alias("last")
+    last = F.max(F.struct("sequence", "tombstone", "value")).alias("last")
     return log.groupBy("key").agg(last).select("key", "last.sequence", "last.tombstone", "last.value")
