@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -
     return rows.mapInArrow(judge, T.StructType([*docs.select(*keep).schema.fields, *new]))
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
     """The rows, with all their columns, that have a language with a score of at least `least`.
 
     Without any language learned, rows with a letter are kept.
