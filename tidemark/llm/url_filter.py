@@ -100,7 +100,8 @@ def judge(pages: DataFrame, site_rules: Sequence[tuple[str, str]] = SITE_RULES,
         buckets: list[list[dict]] = [[] for _ in range(BUCKETS + 1)]
         spark = pages.sparkSession
         known = sorted({t for t, _ in index if t})
-        at = dict(spark.createDataFrame([(t,) for t in known], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(BUCKETS))).collect()) if known else {}
+        own = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(known)), "array<string>")).alias("t"))
+        at = dict(own.select("t", F.pmod(F.xxhash64("t"), F.lit(BUCKETS))).collect())
         for t, k in index:
             r = rules[k]
             buckets[at[t] if t else BUCKETS].append({"token": t, "regex": r.regex, "weight": r.weight, "verdict": r.verdict, "rule": r.rule})
