@@ -16,6 +16,7 @@ scan FROM TO [LIMIT]  keys from FROM up to TO, without it
 prefix P [LIMIT]      keys that start with P
 begin, commit, abort  collect puts and deletes into one atomic batch
 flush, compact, stats, help, quit"""
+#: Fixed value: rows of a scan without a limit.
 DEFAULT_LIMIT = 20
 
 

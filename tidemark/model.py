@@ -30,6 +30,7 @@ class CorruptionError(RuntimeError):
 
 @dataclass(frozen=True)
 class Options:
+    # fixed values: the defaults that callers of such a store expect
     memtable_max_entries: int = 1024
     compaction_trigger: int = 4
     max_key_bytes: int = 4 << 10
