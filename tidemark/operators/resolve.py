@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import MAX_SEQUENCE
+
 
 def latest(log: DataFrame) -> DataFrame:
     """key, sequence, tombstone, value of each key's greatest sequence, tombstones included (compaction, memtable)."""
@@ -53,5 +55,5 @@ def replayed(log: DataFrame, expected: DataFrame) -> DataFrame:
     """
     found = log.groupBy("batch_id").agg(F.count("*").alias("found"))
     broken = expected.join(found, "batch_id", "left").where(F.coalesce("found", F.lit(0)) != F.col("entries"))
-    end = broken.agg(F.min("batch_id").alias("end"))  # one row, so the cross join below is a filter by a number
-    return log.crossJoin(F.broadcast(end)).where(F.col("end").isNull() | (F.col("batch_id") < F.col("end"))).drop("end")
+    end = broken.agg(F.min("batch_id")).scalar()
+    return log.where(F.col("batch_id") < F.coalesce(end, F.lit(MAX_SEQUENCE)))
