@@ -171,7 +171,7 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     roots = components(links(fps, radius))
     own = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     own = written(own, "roots")
-    ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(own.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return rows.join(own.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -205,8 +205,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     cells = sketches.select("node", F.posexplode("keys").alias("band", "key"))
     picks = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "band", "node")) for k in range(PICKS)))
     picked = cells.groupBy("band", "key").agg(F.array_distinct(picks).alias("picks"), F.count("*").alias("n")).where(F.col("n") > 1)
-    banded = cells.join(picked.drop("n"), ["band", "key"]).select(F.col("node").alias("a"), F.explode("picks").alias("b")).where(F.col("a") != F.col("b"))
-    fps = sketches.groupBy("fp").agg(F.min("node").alias("node"))
+    # aggregates are written before they are joined back, so that Spark can split a hot cell's other side
+    banded = cells.join(written(picked.drop("n"), "picked"), ["band", "key"]).select(F.col("node").alias("a"), F.explode("picks").alias("b")).where(F.col("a") != F.col("b"))
+    fps = written(sketches.groupBy("fp").agg(F.min("node").alias("node")), "distinct")
     same = sketches.join(fps.withColumnRenamed("node", "b"), "fp").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     near = links(fps, radius)
     near = near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
