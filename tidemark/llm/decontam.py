@@ -31,7 +31,7 @@ from .common import small_batches
 WINDOW, LEAST, COVERAGE, VERBATIM = 8, 4, 0.6, 13
 BLOCK = 16 << 20
 #: Words known to a task's table of attributes, which starts again when full and with each task.
-KNOWN = 200_000
+KNOWN = 100_000
 NUM, NAME, UNIT = 1, 2, 3
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())

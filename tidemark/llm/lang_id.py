@@ -31,7 +31,7 @@ from .common import small_batches
 BUCKETS = 1 << 16
 SAMPLE = 256
 MAX_LANGS = 500
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 class Model(NamedTuple):
