@@ -164,6 +164,37 @@ def test_near_duplicates(spark):
     assert kept.columns == odd(spark).columns and simhash.deduplicate(odd(spark, [])).count() == 0
 
 
+def test_a_star_of_near_copies_is_joined_whole(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(334)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1001):
+        copy = list(base)
+        for at in rng.sample(range(4, 330, 6), 5):  # each in five shingles of its own
+            copy[at] = word()
+        rows.append((k, " ".join(copy)))
+    own = [shingles(t) for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(own[0], x) > 0.85 for x in own[1:])
+    assert np.mean([like(own[a], own[b]) < 0.8 for a, b in (rng.sample(range(1, 1001), 2) for _ in range(500))]) > 0.9
+    assert [r.doc_id for r in simhash.deduplicate(odd(spark, rows)).collect()] == [0]
+
+
+@pytest.mark.parametrize("sampled", [True, False])
+def test_the_first_shingles_of_alike_sets_meet(sampled):
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        common = rng.integers(0, 1 << 64, rng.integers(1, 200), np.uint64)
+        a, b = (np.concatenate([common, rng.integers(0, 1 << 64, rng.integers(0, len(common) // 5 + 2), np.uint64)]) for _ in range(2))
+        known = np.sort(common[: len(common) // 2]) if sampled else np.zeros(0, np.uint64)
+        (n, p), (m, q) = (simhash.prefix(x, 0.8, (known, np.arange(3, 3 + len(known)))) for x in (a, b))
+        if len(common) >= 0.8 * (n + m - len(common)):
+            shared = np.intersect1d(p, q)
+            overlap = 0.8 / 1.8 * (n + m) - 1e-6
+            assert any(n - list(p).index(x) >= overlap and m - list(q).index(x) >= overlap for x in shared)
+
+
 def test_bands_catch_pairs_at_the_threshold():
     rng = np.random.default_rng(5)
     caught = 0

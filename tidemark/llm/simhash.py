@@ -10,10 +10,12 @@ at least three whole blocks, so cells of a grid on each three blocks hold all li
 join's condition the Manhattan bound comes first, then the exact distance, and a pair counts in its first common cell
 only. Equal fingerprints are collapsed beforehand, so copies cost nothing there.
 
-`near_duplicates` works at a similarity instead (Jaccard on sets of shingles). Fingerprints within a small radius find
-too few of such pairs (0.8 is about ten bits), so candidates come from the grid and from bands of a one-permutation
-min-hash as well; within a cell each member is compared with `PICKS` members only, others in each band; all candidates
-are verified on their whole texts.
+`near_duplicates` works at a similarity instead (Jaccard on sets of shingles), in two passes, both verified on whole
+texts. The first joins clumps of copies at little cost: its candidates come from the grid and from bands of a
+one-permutation min-hash, in whose cells each member meets `PICKS` members only. The second finds every link that is
+left: sets are put in one order of all shingles, and two that are alike share one of their first shingles (a prefix
+filter, exact under any order; shingles that are common in a sample come last, so that cells stay small). Members of a
+cell that the first pass has joined are not compared again.
 
 Null or empty text: no words. Null ids have no part in a component's smallest id (null where all are null). Repeated
 rows are linked like any others. Empty tables give no rows; extra columns are kept by `near_duplicates`.
@@ -22,6 +24,7 @@ rows are linked like any others. Empty tables give no rows; extra columns are ke
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,8 +42,14 @@ _LOW = 0x5555555555555555
 BANDS, ROWS = 25, 5
 #: Members of a cell of the grid beyond which it is divided again.
 CROWDED = 2000
-#: Members of a cell that all of its members are compared with.
+#: Members of a min-hash cell that all of its members are compared with in the first pass.
 PICKS = 3
+#: Texts, about, from which the order of shingles is learned, and shingles kept of them.
+SAMPLE, COMMON = 4096, 1 << 16
+#: Shingles that a task which verifies pairs holds, about.
+HELD = 1 << 20
+#: Texts up to which a table of their hashes is broadcast.
+FEW = 1 << 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -86,6 +95,39 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """Number of different shingles, and the first of them in the common order: one of these is in any set as similar.
+
+    common: sorted shingles and their counts; the others count 0. The empty set has one token of its own.
+    """
+    x = np.unique(hashes)
+    if not len(x):
+        return 0, np.zeros(1, np.int64)
+    known, counts = common
+    count = np.zeros(len(x), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        count = np.where(known[at] == x, counts[at], 0)
+    first = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
+    return len(x), x[np.argsort(count, kind="stable")[:first]].view(np.int64)
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in three or more of a sample of the different texts (_nd_text, text), sorted, and their counts."""
+    n = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod("_nd_text", F.lit(n)) == 0).groupBy("_nd_text").agg(F.first("text").alias("text")).select("text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["h"])
+
+    found = sample.mapInArrow(spread, "h long").groupBy("h").count().where(F.col("count") > 2).orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, count = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
+
+
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, fp of each row."""
 
@@ -180,27 +222,94 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _left_open(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """a, b of all pairs of nodes with different roots that may be as similar, by the prefix filter.
+
+    Two alike sets overlap by similarity / (1 + similarity) of their sizes' sum at least, so the first shingle they share
+    must have as many left behind it, itself included, in both. In each cell the pairs within its most frequent root
+    are left out before the join.
+    """
+    tokens = sketches.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    shared = written(tokens.groupBy("token").count().where(F.col("count") > 1).select("token"), "shared")
+    tokens = tokens.join(shared, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = written(tokens, "tokens")
+    heads = tokens.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("roots"))
+    heads = written(heads.where(F.col("roots") > 1).select("token", "most"), "heads")
+    tokens = written(tokens.join(heads, "token"), "open")
+    x, y = tokens.where(F.col("root") != F.col("most")).alias("x"), tokens.alias("y")
+    overlap = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    alike = (F.col("x.rest") >= overlap) & (F.col("y.rest") >= overlap)
+    once = (F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & alike)
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose texts (_nd_text, text) are as similar."""
+    pairs = written(pairs.distinct(), "pairs")
+    # the texts that occur in pairs, one row each; copies are collapsed before the shuffle
+    asked = written(pairs.select(F.col("a").alias("_nd_text")).union(pairs.select(F.col("b").alias("_nd_text"))).distinct(), "asked")
+    if asked.count() <= FEW:
+        whole = texts.join(F.broadcast(asked), "_nd_text", "left_semi").groupBy("_nd_text").agg(F.first("text").alias("text"))
+    else:
+        whole = texts.groupBy("_nd_text").agg(F.first("text").alias("text")).join(asked, "_nd_text", "left_semi")
+    whole = written(whole, "texts")
+    both = pairs.join(whole.select(F.col("_nd_text").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("_nd_text").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        size = 0
+
+        def known(node: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            if node not in sets:
+                if size > HELD:
+                    sets.clear()
+                    size = 0
+                sets[node] = np.unique(shingle_hashes(text.as_py(), words))
+                size += len(sets[node])
+            return sets[node]
+
+        for b in batches:
+            keep = []
+            for i, s, j, t in zip(b.column("a").to_pylist(), b.column("ta"), b.column("b").to_pylist(), b.column("tb"), strict=True):
+                x, y = known(i, s), known(j, t)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "alike")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """All rows and columns, with _nd_group: rows with the same one are alike, directly or through others."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.withColumn("_nd_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = keyed.select("_nd_text", "text")
+    held = spark.sparkContext.broadcast(common_shingles(texts, words))  # COMMON shingles at most
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, keys = [], []
+            fp, keys, sizes, first = [], [], [], []
             for t in b.column("text"):
                 h = shingle_hashes(t.as_py(), words)
                 fp.append(fingerprint(h))
                 keys.append(bands(h))
+                n, p = prefix(h, similarity, held.value)
+                sizes.append(n)
+                first.append(p)
             keys = np.array(keys, np.int64).reshape(-1)
             ends = np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("_nd_text"), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["node", "fp", "keys"])
+            cuts = np.cumsum([0, *map(len, first)], dtype=np.int32)
+            first = np.concatenate([np.zeros(0, np.int64), *first])
+            columns = [b.column("_nd_text"), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(first))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "keys", "n", "prefix"])
 
-    sketches = written(texts.mapInArrow(sketch, "node long, fp long, keys array<long>"), "sketches")
     # copies: the same sketch, so one row of each text is left
-    sketches = sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    sketches = texts.mapInArrow(sketch, "node long, fp long, keys array<long>, n int, prefix array<long>")
+    sketches = sketches.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "keys", "n", "prefix")))
     sketches = written(sketches, "sketches")
     cells = sketches.select("node", F.posexplode("keys").alias("band", "key"))
     picks = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "band", "node")) for k in range(PICKS)))
@@ -212,32 +321,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     near = links(fps, radius)
     near = near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = banded.union(same).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.distinct(), "pairs")
-    # the texts that occur in pairs, one row each; copies are collapsed before the shuffle
-    asked = pairs.select(F.col("a").alias("_nd_text")).union(pairs.select(F.col("b").alias("_nd_text"))).distinct()
-    whole = written(texts.groupBy("_nd_text").agg(F.first("text").alias("text")).join(asked, "_nd_text", "left_semi"), "asked")
-    both = pairs.join(whole.select(F.col("_nd_text").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("_nd_text").alias("b"), F.col("text").alias("tb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column("ta"), b.column("tb"), strict=True):
-                x, y = (np.unique(shingle_hashes(v.as_py(), words)) for v in (s, t))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-
-    alike = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    roots = components(alike).select(F.col("node").alias("_nd_text"), F.col("root").alias("_nd_root"))
+    alike = _verified(pairs, texts, words, similarity)
+    joined = written(components(alike), "joined")
+    more = _verified(_left_open(sketches, joined, similarity), texts, words, similarity)
+    # the second pass links groups of the first
+    roots = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("_nd_text"), F.col("root").alias("_nd_root"))
     return keyed.join(roots, "_nd_text", "left").withColumn("_nd_group", F.coalesce("_nd_root", "_nd_text")).drop("_nd_text", "_nd_root")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id (null last)."""
     columns = docs.columns
-    grouped = near_duplicates(docs.select("doc_id", "text"), words, similarity, radius)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+    # hashed before the join with the groups, so that texts stay out of it
+    grouped = near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("_nd_h")), words, similarity, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_nd_h").alias("h"))
     first = written(grouped.groupBy("_nd_group").agg(F.min(order).alias("first")), "first").select(F.col("first.doc_id").alias("_nd_id"), F.col("first.h").alias("_nd_hash"))
     keyed = docs.withColumn("_nd_h", F.xxhash64("text"))
     kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_nd_id"]) & (keyed["_nd_h"] == first["_nd_hash"]), "left_semi")
