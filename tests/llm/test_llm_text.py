@@ -275,6 +275,16 @@ def test_reparameterised_questions(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_inconsistent_slots_leave_words_that_are_repeated(spark):
+    item = "Tom buys 5 red apples and 5 green pears from the old market near the river every single morning before school"
+    other = "Yesterday we saw Anna give 12 coins and 30 stamps to the museum of her town"
+    texts = {1: item.replace("5 green", "7 green"), 2: other.replace("12", "40").replace("30", "40"), 3: item.replace("5 red", "6 red").replace("market", "shop").replace("single", "late")}
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    found = decontam.contaminated(odd(spark, [*texts.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id, r.renamed) for r in found} == {(1, 1, False), (2, 2, True)}
+    assert [r.doc_id for r in decontam.decontaminate(odd(spark, [*texts.items()]), bench).collect()] == [3]
+
+
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 200)
     items = [(k, f"{QUESTION[:60]} number {k} and some more words that only item {chr(97 + k) * 5} has got in it") for k in range(12)]

@@ -4,7 +4,8 @@ Words become template tokens: numbers, names (capitalised inside a sentence) and
 placeholders, everything else is lower-cased. Windows of lower-cased words are used beside them, as case may be lost. Windows of `WINDOW` template tokens of the benchmark (whole items where
 those are shorter) form a hash table that the documents' windows are joined with. Hits of one document and item on one
 diagonal are lined up, token by token, and their slots checked: equal names, numbers and units of the item must stand
-for equal ones in the document and different ones for different ones, else the diagonal does not count.
+for equal ones in the document, and different names and units for different ones, else only the diagonal's plain windows
+count, those that agree word by word.
 
 A document is contaminated by an item if its lined-up tokens cover `COVERAGE` of the item, or if it repeats `VERBATIM`
 or more of its words in a row. Re-parameterised questions are those whose slots differ.
@@ -177,7 +178,7 @@ def find(table: Table, words: Words, text: str | None) -> list[Found]:
         return []
     tokens, literal, known = template(words, text)
     hits = []
-    for own, fine in ((tokens, known | (tokens <= UNIT)), (literal, known)):
+    for plain, own, fine in ((False, tokens, known | (tokens <= UNIT)), (True, literal, known)):
         gone = np.concatenate([[0], np.cumsum(~fine)])
         for n, (hashes, item, place) in table.windows.items():
             if len(own) < n:
@@ -188,18 +189,28 @@ def find(table: Table, words: Words, text: str | None) -> list[Found]:
             h = _hashes_at(own, at, n)
             first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             for a, x, y in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-                hits += [(int(item[i]), a - int(place[i]), int(place[i]), n) for i in range(x, y)]
-    diagonals: dict[tuple[int, int], set[int]] = {}
-    for item, shift, place, n in hits:
-        diagonals.setdefault((item, shift), set()).update(range(place, place + n))
+                hits += [(int(item[i]), a - int(place[i]), int(place[i]), n, plain) for i in range(x, y)]
+    diagonals: dict[tuple[int, int], tuple[set[int], set[int]]] = {}
+    for item, shift, place, n, plain in hits:
+        every, word_by_word = diagonals.setdefault((item, shift), (set(), set()))
+        every.update(range(place, place + n))
+        if plain:
+            word_by_word.update(range(place, place + n))
     seen: dict[int, tuple[set[int], bool, int]] = {}
-    for (item, shift), places in diagonals.items():
-        _, _, own, slot = table.items[item]
+    for (item, shift), (places, word_by_word) in diagonals.items():
+        _, kinds, own, slot = table.items[item]
         at = np.array(sorted(places))
         theirs = literal[at + shift]
         pairs = {(int(a), int(b)) for a, b, s in zip(own[at], theirs, slot[at], strict=True) if s}
-        if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
-            continue
+        fixed = {(int(a), int(b)) for a, b, s in zip(own[at], theirs, slot[at] & (kinds[at] != NUM), strict=True) if s}
+        if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in fixed}) < len(fixed):
+            if not word_by_word:
+                continue
+            # inconsistent slots void what rests on placeholders only
+            places = word_by_word
+            at = np.array(sorted(places))
+            theirs = literal[at + shift]
+            pairs = {(int(a), int(a)) for a in own[at][slot[at]]}
         same = np.concatenate([[False], (own[at] == theirs), [False]])
         step = np.concatenate([[False], np.diff(at) == 1, [False]])
         run = most = 0
