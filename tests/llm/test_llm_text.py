@@ -96,12 +96,41 @@ def test_common_lines_of_odd_rows(spark):
 
 def test_runs_grow_in_batches_and_compact(spark):
     rows = [(i, f"line {i % 3}\nLINE {i % 5} \nown {i}") for i in range(40)]
-    runs = line_dedup.LineRuns(spark, fan_in=2)
+    runs = line_dedup.LineRuns(spark, documents=10)
     for k in range(4):
-        runs.add(odd(spark, rows[10 * k : 10 * k + 10]), batches=1)
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert Counter((r.doc_id, r.text) for r in runs.clean(odd(spark, rows), 10).collect()) == cleaned(rows, 10)
-    assert line_dedup.LineRuns(spark).clean(odd(spark, rows), 1).where("_ld_dropped > 0").count() == 0
+        runs.add(odd(spark, rows[10 * k : 10 * k + 10]))
+    assert [bool(r) for r in runs.levels] == [False, False, True]
+    assert Counter((r.doc_id, r.text) for r in runs.clean(odd(spark, rows)).collect()) == cleaned(rows, 10)
+    assert line_dedup.LineRuns(spark, 1).clean(odd(spark, rows)).where("_ld_dropped > 0").count() == 0
+    runs.drop()
+
+
+def test_a_batch_leaves_settled_lines_out(spark):
+    rows = [(i, f"common\nown {i}") for i in range(9)]
+    runs = line_dedup.LineRuns(spark, documents=3)
+    runs.add(odd(spark, rows[:4]))
+    runs.add(odd(spark, rows[4:]))
+    assert sorted(r.n for r in line_dedup.table(spark, runs.levels[1]).collect()) == [1] * 9 + [4]  # the second batch has no entry for the common line
+    runs.add(odd(spark, [(9, "own 9")]))
+    assert Counter((r.doc_id, r.text) for r in runs.clean(odd(spark, rows)).collect()) == cleaned(rows, 3)
+    one, two = (line_dedup.table(spark, r) for r in runs.runs())
+    for frame in (runs.unsettled(one), runs.merged(one, two)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_first_documents_of_later_batches(spark):
+    rows = [(i, f"common\nown {i}") for i in (5, 6, 7, 1, 8, 9)]
+    runs = line_dedup.LineRuns(spark, documents=3, keep_first=True)
+    runs.add(odd(spark, rows[:3]))
+    runs.add(odd(spark, rows[3:]))
+    assert {r.doc_id for r in runs.clean(odd(spark, rows)).collect() if r.text.startswith("common")} == {1}
+
+
+def test_own_column_names(spark):
+    frame = odd(spark).withColumns({c: F.lit(5) for c in ("_ld_h", "_ld_drop", "_ld_rest", "_ld_pos", "_ld_key", "_ld_lines")})
+    out = line_dedup.drop_common_lines(frame, documents=2)
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == cleaned(ODD, 2) and {r._ld_h for r in out.collect()} == {5}
 
 
 def test_the_first_document_may_keep_its_lines(spark):

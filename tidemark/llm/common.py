@@ -1,14 +1,16 @@
-"""Shared helpers: the cluster's shared folder, written intermediate tables, and the tokenizer."""
+"""Shared helpers: the cluster's shared folder, written and bucketed intermediate tables, and the tokenizer."""
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import itertools
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -21,17 +23,30 @@ ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.shared.dir", None)
+    """The folder that driver and executors share: `spark.checkpoint.dir`. In local mode alone (tests), where it is unset,
+    one of our own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", base)
     return base.rstrip("/")
 
 
+def _made(spark: SparkSession) -> dict[str, str | None]:
+    """The paths in the shared folder that this session has made, with the name of the table there, if it is one."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_made"):
+        context._tidemark_made = {}
+    return context._tidemark_made
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
+    _made(spark)[path] = None
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -42,6 +57,56 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a new table: as many as an exchange has partitions, so that its output needs no other one."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucketed(df: DataFrame, tag: str, n: int, keys: Sequence[str], order: Sequence[str]) -> str:
+    """`df`, which lies by hash of `keys` already, as a table of n buckets in the shared folder, one sorted file a bucket.
+
+    Joins, aggregates and windows by `keys` over such tables need no exchange; unions of tables with the same n neither.
+    Their order is used, too (a session setting, left in place as plans run later). Returns the path: see `table`.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    if buckets(spark) != n:
+        df = df.repartition(n, *keys)
+    path = scratch(spark, tag)
+    name = "tidemark_" + re.sub(r"\W", "_", path.rsplit("/tidemark-", 1)[1])
+    _made(spark)[path] = name
+    df.write.bucketBy(n, *keys).sortBy(*order).option("path", path).saveAsTable(name)
+    return path
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """What `bucketed` has written."""
+    return spark.table(_made(spark)[path])
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for path in paths:
+        if name := _made(spark).pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this session, once the results that rest on them have been used; their number."""
+    paths = list(_made(spark))
+    dropped(spark, *paths)
+    return len(paths)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished steps, so that Spark deletes their shuffle files."""
+    gc.collect()
+    with contextlib.suppress(AttributeError):
+        spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that their Python workers can import it."""
     context = spark.sparkContext
@@ -61,6 +126,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def packed(columns: Iterable[str]) -> Column:
+    """Columns as fields of one, so that their names can't clash with an operator's own."""
+    return F.struct(*([F.col(f"`{c}`") for c in columns] or [F.lit(None).cast("int").alias("_")]))
+
+
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A column name that is not in use."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. `lower` is faster but maps other letters too, so it serves pure ASCII alone."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
