@@ -207,18 +207,25 @@ def test_bands_catch_pairs_at_the_threshold():
 # --- top-k
 
 
+def plain_top(rows, k, scale, every):
+    """The answers of each row whose id is divisible, over all other rows."""
+    whole = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for at, (q, a) in enumerate(whole):
+        if q is None or q % every:
+            continue
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i is None, i or 0, i) for j, (i, b) in enumerate(whole) if j != at and len(b) == len(a))
+        out.update((q, r + 1, s[3], -s[0]) for r, s in enumerate(scores[:k]))
+    return out
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (100, None), (150, [nan, 1.0]), (200, [inf, 1.0]), (250, [None, 1.0]), (300, []), (350, [1.0]), (7, [0.001, -0.001]), (8, [1.0, 2.0]), (9, [5.0]), (None, [1.0, 2.0]), (400, [-1.0, -2.0])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
-    out = topk.top_k(frame, frame.where("vec_id % 50 = 0"), k=3)
-    want = []
-    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for q in {i: v for i, v in whole if i is not None and i % 50 == 0}.items():
-        scores = sorted(((-sum(a * b for a, b in zip(q[1], v, strict=True)), i is None, i or 0, i) for i, v in whole if i != q[0] and len(v) == len(q[1])))
-        want += [(q[0], r + 1, s[3], -s[0]) for r, s in enumerate(scores[:3])]
-    assert Counter(map(tuple, out.collect())) == Counter(want)
-    assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
+    rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [3.0, 2.0]), (100, None), (150, [nan, 1.0]), (200, [inf, 1.0]), (250, [None, 1.0]), (300, []), (300, []), (350, [1.0]), (7, [0.001, -0.001]), (8, [1.0, 2.0]), (9, [5.0]), (None, [1.0, 2.0]), (400, [-1.0, -2.0]), (2**63 - 1, [1.0, 2.0]), (-(2**63), [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("score", "rid", "picked", "query")}).repartition(3)
+    out = topk.top_k(frame, F.col("vec_id") % 50 == 0, k=3)
+    assert Counter(map(tuple, out.collect())) == plain_top(rows, 3, 256, 50)
+    assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_ties_blocks_and_large_numbers(spark):
@@ -226,14 +233,28 @@ def test_ties_blocks_and_large_numbers(spark):
     vectors = rng.integers(-2, 3, (300, 6)).astype(float)
     vectors[::3] = vectors[0]
     vectors[5] *= 1e9
-    frame = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
-    out = Counter(map(tuple, topk.top_k(frame, frame.where("vec_id % 10 = 0"), k=4, lists=3, scale=1.0, block=7).collect()))
-    ints = vectors.astype(object)
-    want = Counter()
-    for q in range(0, 300, 10):
-        best = sorted((-int(ints[q] @ ints[i]), i) for i in range(300) if i != q)[:4]
-        want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
-    assert out == want
+    vectors[10] *= 1e9
+    rows = [(int(i) % 290, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    out = topk.top_k(frame, F.col("vec_id") % 10 == 0, k=4, lists=3, scale=1.0, block=500)
+    assert Counter(map(tuple, out.collect())) == plain_top(rows, 4, 1.0, 10)
+
+
+def test_the_threshold_leaves_most_pairs_unresolved():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    rows = topk.Vectors(np.arange(4000), np.arange(4000), np.zeros(4000, bool), x)
+    q, cuts = rows.part(slice(0, 50)), np.array_split(np.arange(64), 8)
+    i, j = topk.local_list(q, rows, cuts[0], 20)
+    gathered = topk.exact(q.x[i], x[j])
+    cutoff = np.array([np.sort(gathered[i == k])[-5] for k in range(50)], float)
+    i2, j2 = topk.survivors(q, rows, cuts, cutoff)
+    assert len(i) + len(i2) < 0.25 * 50 * 4000
+    score = x @ q.x.T
+    for k in range(50):
+        score[k, k] = -np.inf
+        assert set(np.flatnonzero(score[:, k] >= cutoff[k])) <= set(j2[i2 == k])
 
 
 # --- suffix dedup
