@@ -286,27 +286,33 @@ def texts(seed, n=60):
     return [(k, "".join(rng.choice(pool)[rng.randrange(8) :] for _ in range(rng.randrange(0, 6))) + rng.choice(["", "a" * 70])) for k in range(n)]
 
 
-@pytest.mark.parametrize(("crowded", "segment"), [(200, 1 << 19), (1, 256)])
-def test_repeats(spark, monkeypatch, crowded, segment):
+@pytest.mark.parametrize("crowded", [200, 1])
+def test_repeats(spark, crowded):
     rows = texts(crowded) + ODD[:6] + [(900, "x" * 3000), (901, None)]
-    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
-    if crowded == 200:  # workers import the module themselves, so the segment is changed for the plain functions only
-        found = suffix_dedup.remove_repeats(odd(spark, rows), length=24, gram=6).collect()
-        assert Counter(map(tuple, found)) == plain_removal(rows, 24)
-    else:
-        found = suffix_dedup.remove_repeats(odd(spark, rows), length=40, gram=10, texts=True).collect()
-        assert Counter(tuple(r)[:5] for r in found) == plain_removal(rows, 40)
-        assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in found)
-
-
-def test_levels_merge_like_carries(spark):
-    rows = texts(11, 40)
+    frame = odd(spark, rows).withColumns({c: F.lit(1) for c in ("r1", "gram", "head", "m", "bytes", "s", "dup")})
+    found = suffix_dedup.remove_repeats(frame, length=24 if crowded == 200 else 40, gram=6, texts=True, crowded=crowded).collect()
+    assert Counter(tuple(r)[:5] for r in found) == plain_removal(rows, 24 if crowded == 200 else 40)
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in found)
+
+
+def test_batches_meet_all_before_them(spark):
+    rows = texts(11, 50) + [(7, "the same row " * 9), (7, "the same row " * 9)]
     levels = suffix_dedup.SuffixLevels(spark, 24, 6)
-    for k in range(4):
-        levels.add(odd(spark, rows[10 * k : 10 * k + 10]))
-        assert [bool(p) for p in levels.levels] == [[True], [False, True], [True, True], [False, False, True]][k]
-    found = suffix_dedup.remove_repeats(odd(spark, rows), 24, 6, lines=levels.all())
-    assert Counter(map(tuple, found.collect())) == plain_removal(rows, 24)
+    for k in range(5):
+        levels.add(odd(spark, rows[10 * k : 10 * k + 10] + ([rows[-1]] if k == 4 else [])))
+        so_far = rows[: 10 * k + 10] + ([rows[-1]] if k == 4 else [])
+        own = Counter(i for i, _ in rows[10 * k : 10 * k + 10])
+        want = plain_removal(so_far, 24)
+        # the batch alone was handed in; earlier documents lose what it repeats, too
+        assert Counter(map(tuple, levels.removed().collect())) == want
+        latest = Counter(map(tuple, levels.removed(latest=True).collect()))
+        assert latest <= want and (k == 4 or latest == Counter({w: n for w, n in want.items() if w[0] in own}))
+        assert [bool(p) for p in levels.levels] == [[True], [False, True], [True, True], [False, False, True], [True, False, True]][k]
+    array = suffix_dedup.table(spark, levels.levels[2])
+    assert [tuple(r) for r in array.select("head", "gram", "run").collect()] == [tuple(r) for r in array.select("head", "gram", "run", F.spark_partition_id().alias("p")).orderBy("p", "head", "gram", "run").select("head", "gram", "run").collect()]
+    scan, merge = (f._jdf.queryExecution().executedPlan().toString() for f in (levels.merge_scan(suffix_dedup.table(spark, levels.levels[0])), levels.merged(array, suffix_dedup.table(spark, levels.levels[0]))))
+    assert scan.count("SortMergeJoin") == 5 and scan.count("Exchange") <= 1  # of what has met
+    assert "SortMergeJoin" in merge and "Exchange" not in merge
 
 
 def test_repeats_query(spark):

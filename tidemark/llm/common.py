@@ -62,7 +62,7 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucketed(df: DataFrame, tag: str, n: int, keys: Sequence[str], order: Sequence[str]) -> str:
+def bucketed(df: DataFrame, tag: str, n: int, keys: Sequence[str], order: Sequence[str], **options: str) -> str:
     """`df`, which lies by hash of `keys` already, as a table of n buckets in the shared folder, one sorted file a bucket.
 
     Joins, aggregates and windows by `keys` over such tables need no exchange; unions of tables with the same n neither.
@@ -75,7 +75,7 @@ def bucketed(df: DataFrame, tag: str, n: int, keys: Sequence[str], order: Sequen
     path = scratch(spark, tag)
     name = "tidemark_" + re.sub(r"\W", "_", path.rsplit("/tidemark-", 1)[1])
     _made(spark)[path] = name
-    df.write.bucketBy(n, *keys).sortBy(*order).option("path", path).saveAsTable(name)
+    df.write.bucketBy(n, *keys).sortBy(*order).options(path=path, **options).saveAsTable(name)
     return path
 
 

@@ -1,22 +1,32 @@
-"""Removal of repeated long strings with a family of sparse suffix arrays (operator 8).
+"""Removal of repeated long strings with a logarithmic family of sparse suffix arrays (operator 8).
 
 A byte goes if it lies in a `length`-byte string that also starts anywhere else in the input, the same document
 included. Suffixes are sampled: every window of `length` bytes picks the smallest hash among its `gram`-byte strings, so
-equal windows pick the same place, and only those suffixes are kept, sorted by that hash (a sparse suffix array). Each
-stands for a run of neighbouring windows. The merge scan over the arrays sees all suffixes with one gram together:
+equal windows pick the same place, and only those suffixes are kept. Each stands for a run of neighbouring windows.
 
-- a run whose bytes occur again as a run of that gram is repeated in all its windows;
-- otherwise its windows are compared one by one with those of the gram's other different runs (its edges). Their
-  bytes are brought together by gram; grams with more than `CROWDED` different runs are compared window by window in
-  an aggregate instead, so no group of any size lands in one task.
+`SuffixLevels` keeps the family. A suffix array is a table of (head, gram, run, ...), in buckets by hash of the first
+two and sorted in each: head is the suffix's first eight bytes (`gram`, if fewer) as a number, so order is that of the suffixes; ties go by
+the hash of their first `gram` bytes, and then by the hash of all bytes that the run's windows have (their context).
+A new batch of documents
 
-`SuffixLevels` keeps arrays of batches in levels: a new batch's array is merge-scanned with all levels, and two levels
-of one size merge into the next. `remove_repeats` is the bulk load: one batch, whose array is scanned as it is sorted.
+1. is stored by row, and its suffixes are sampled and sorted into an array of their own;
+2. is merge-scanned with the array of each level: merge joins, without an exchange, find the suffixes of both that have
+   their first `gram` bytes in common with another one; only these are grouped. Runs with equal contexts are repeated in
+   all their windows.
+   Otherwise the windows of the different runs are compared one by one: the stored texts give the contexts, also those
+   of earlier batches;
+3. goes to level 0; two arrays of a level are merge-joined into one of the next. Of suffixes with equal contexts one stays.
+
+So documents of earlier batches lose what a later one repeats, and `removed` gives all batches or the latest alone.
+
+Hot groups: equal runs are collapsed by each sampling task before the exchange, and once more in the array. Grams with
+more than `CROWDED` different runs are compared window by window in an aggregate instead of in one task.
 
 Comparisons use two 64-bit hashes (a run's gram and content, a window's gram and content; within the few thousand
-windows that a task holds at once, one of both). Documents are rows; a row is
-known by a 64-bit hash of id and text, so equal rows share their spans. Null text: empty. Texts shorter than `length`:
-untouched. Very long texts are hashed in segments. Empty tables give no rows; extra columns are ignored.
+windows that a task holds at once, one of both). Documents are rows; a row is known by its id (a hash of the text where
+null) and a 64-bit hash of id and text, so equal rows share their spans, and count as repeats of each other. Null text:
+empty. Texts shorter than `length`: untouched. Very long texts are hashed in segments. Empty tables give no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,18 +37,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, written
+from .common import bucketed, buckets, dropped, release, scratch, small_batches, table, written
 
 LENGTH, GRAM = 200, 40
 #: Grams with more different runs than this are compared in an aggregate.
-CROWDED = 20_000
+CROWDED = 256
 #: Bytes hashed at once.
 SEGMENT = 1 << 19
+#: Suffixes of a task among which equal runs are collapsed.
+COLLAPSED = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
-_LINES = "gram long, run long, rid long, s long, n int"
+_ROW = ["r1", "r2"]
+_KEY = ["head", "gram"]
+_LINES = "dup boolean, head long, gram long, run long, r1 long, r2 long, s int, n short, m long"
 
 
 @functools.cache
@@ -74,7 +88,7 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def runs(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """gram, run, piece, first window, number of windows of each sampled suffix; at most SEGMENT bytes in all."""
+    """head, gram, run, piece, first window, number of windows of each sampled suffix; at most SEGMENT bytes in all."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     offsets = np.cumsum(sizes) - sizes
     b = np.frombuffer(b"".join(pieces), np.uint8)
@@ -96,91 +110,202 @@ def runs(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     end = start + n - 1 + length
     run = _mix(_hash(sums, start, end) + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + (place - start).astype(np.uint64))
     piece = np.searchsorted(offsets, start, "right") - 1
-    return h[place], run, piece, start - offsets[piece], n
+    first8 = np.lib.stride_tricks.sliding_window_view(np.concatenate([b, np.zeros(8, np.uint8)]), 8)[place]
+    head = np.ascontiguousarray(first8).view(">u8")[:, 0].astype(np.uint64)
+    head = (head >> np.uint64(8 * (8 - min(8, gram)))) ^ np.uint64(1 << 63)
+    return head, h[place], run, piece, start - offsets[piece], n
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """r1, r2, doc_id, bytes of each row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(doc_id, F.xxhash64(F.lit(1), text)).alias("r1"), F.xxhash64(doc_id, text).alias("r2"), doc_id.alias("doc_id"), text.cast("binary").alias("bytes"))
 
 
-def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """gram, run, rid, s, n of every sampled suffix of rid, text."""
+def suffixes(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The sampled suffixes of r1, r2, bytes. Equal runs among COLLAPSED suffixes of a task become one row (m: their
+    number); each of those is given as well, as a row with `dup`."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def close(pieces: list[bytes], r1: list[int], r2: list[int], shift: list[int]) -> None:
+            nonlocal rows
+            if pieces:
+                head, g, r, piece, s, n = runs(pieces, length, gram)
+                made.append((head.view(np.int64), g.view(np.int64), r.view(np.int64), np.array(r1, np.int64)[piece], np.array(r2, np.int64)[piece], (s + np.array(shift, np.int64)[piece]).astype(np.int32), n.astype(np.int16)))
+                rows += len(n)
+
+        def collapse() -> Iterator[pa.RecordBatch]:
+            nonlocal rows
+            if not made:
+                return
+            columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+            made.clear()
+            rows = 0
+            order = np.lexsort((columns[2], columns[1]))
+            columns = [c[order] for c in columns]
+            new = np.concatenate([[True], (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])])
+            first = np.flatnonzero(new)
+            m = np.diff(np.append(first, len(new)))
+            dup = np.repeat(m > 1, m)
+            names = ["dup", "head", "gram", "run", "r1", "r2", "s", "n", "m"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), bool)), *(pa.array(c[first]) for c in columns), pa.array(m)], names=names)
+            if dup.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(dup.sum(), bool)), *(pa.array(c[dup]) for c in columns), pa.array(np.ones(dup.sum(), np.int64))], names=names)
+
         for b in batches:
-            pieces: list[bytes] = []
-            owner: list[int] = []
-            shift: list[int] = []
+            held: tuple[list, list, list, list] = ([], [], [], [])
             size = 0
-
-            def close() -> Iterator[pa.RecordBatch]:
-                nonlocal pieces, owner, shift, size
-                if pieces:
-                    g, r, piece, s, n = runs(pieces, length, gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(np.array(owner, np.int64)[piece]), pa.array(s + np.array(shift, np.int64)[piece]), pa.array(n.astype(np.int32))], names=["gram", "run", "rid", "s", "n"])
-                pieces, owner, shift, size = [], [], [], 0
-
-            for rid, text in zip(b.column("rid").to_pylist(), b.column("text"), strict=True):
-                whole = (text.as_py() or "").encode()
-                for a in range(0, max(1, len(whole) - length + 1), SEGMENT - length + 1):
+            for x, y, whole in zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), b.column("bytes"), strict=True):
+                whole = whole.as_py()
+                for a in range(0, len(whole) - length + 1, SEGMENT - length + 1):
                     part = whole[a : a + SEGMENT]
-                    if len(part) < length:
-                        continue
                     if size + len(part) > SEGMENT:
-                        yield from close()
-                    pieces.append(part)
-                    owner.append(rid)
-                    shift.append(a)
+                        close(*held)
+                        held, size = ([], [], [], []), 0
+                    for column, v in zip(held, (part, x, y, a), strict=True):
+                        column.append(v)
                     size += len(part)
-            yield from close()
+                    if rows >= COLLAPSED:
+                        yield from collapse()
+            close(*held)
+        yield from collapse()
 
-    small_batches(docs.sparkSession)
-    return docs.select("rid", "text").mapInArrow(sample, _LINES)
+    small_batches(texts.sparkSession)
+    return texts.select("r1", "r2", "bytes").mapInArrow(sample, _LINES)
 
 
 class SuffixLevels:
-    """Sparse suffix arrays in levels; level k holds 2^k batches or nothing."""
+    """Sparse suffix arrays in levels; level k holds an array of 2^k batches or nothing. `add` takes new batches of
+    documents (doc_id, text); `removed` gives them without what any of them repeats."""
 
-    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM) -> None:
+    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, crowded: int | None = None) -> None:
         self.spark, self.length, self.gram = spark, length, gram
+        self.crowded = CROWDED if crowded is None else crowded
+        self.buckets = buckets(spark)
         self.levels: list[str | None] = []
+        self.texts: list[str] = []  # by batch
+        self.spans: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> None:
-        """Sort a batch's suffixes; merge levels of one size as a carry does."""
-        rows, level = suffixes(with_rid(docs), self.length, self.gram), 0
-        while level < len(self.levels) and self.levels[level]:
-            rows, self.levels[level] = rows.union(self._read(self.levels[level])), None
-            level += 1
-        path = scratch(self.spark, f"suffixes-l{level}")
-        rows.repartition("gram").sortWithinPartitions("gram", "run").write.parquet(path)
+        """Store a batch, find what it repeats of itself and of all batches before it, and add its array."""
+        spark = self.spark
+        rows = stored(docs).repartition(self.buckets, *_ROW)
+        self.texts.append(bucketed(rows, "texts", self.buckets, _ROW, _ROW, compression="zstd"))
+        path = scratch(spark, "suffixes")
+        suffixes(table(spark, self.texts[-1]), self.length, self.gram).write.partitionBy("dup").parquet(path)
+        sampled = spark.read.schema(_LINES).parquet(path)
+        lines = sampled.where("not dup").drop("dup").repartition(self.buckets, *_KEY)
+        batch = bucketed(lines, "array", self.buckets, _KEY, [*_KEY, "run"])
+        shared = written(self.merge_scan(table(spark, batch)), "shared")
+        span = (*_ROW, F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + self.length).cast("long").alias("b"))
+        spans = sampled.where("dup").select(*span).union(shared.where("full and m = 1").select(*span))
+        self.spans.append(written(spans.unionByName(self.compared(shared.where("edge"))), "spans"))
+        dropped(spark, path)
+        self._push(batch)
+        release(spark)
+
+    def merge_scan(self, new: DataFrame) -> DataFrame:
+        """The suffixes of a new batch's array and of the levels' arrays whose gram occurs again, once in the new batch at
+        least: with full (all windows repeated), edge (to be compared; one of the runs that are equal), crowded."""
+        gram, run = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY, "run")
+        counted = new.withColumn("_k", F.count("*").over(gram))
+        parts, rest = [counted.where("_k > 1").drop("_k")], counted.where("_k = 1").drop("_k")
+        for level in self.levels:
+            if level:
+                old = table(self.spark, level)
+                parts += [rest.join(old.select(*_KEY).hint("merge"), _KEY, "left_semi"), old.join(new.select(*_KEY).hint("merge"), _KEY, "left_semi")]
+                rest = rest.join(old.select(*_KEY).hint("merge"), _KEY, "left_anti")
+        met = functools.reduce(DataFrame.unionByName, parts)
+        own = F.struct(*_ROW, "s")
+        met = met.withColumn("full", F.sum("m").over(run) > 1).withColumn("_own", F.min(own).over(run) == own)
+        several, crowded = F.min("run").over(gram) != F.max("run").over(gram), F.sum(F.col("_own").cast("int")).over(gram) > self.crowded
+        met = met.withColumn("edge", several & F.col("_own")).withColumn("crowded", crowded).drop("_own")
+        return met.where("edge or (full and m = 1)")
+
+    def compared(self, edges: DataFrame) -> DataFrame:
+        """r1, r2, a, b of the windows that different runs of a gram share."""
+        spark, length = self.spark, self.length
+        edge = F.struct(*_KEY, "crowded", "full", F.col("s").cast("long").alias("s"), F.col("n").cast("long").alias("n")).alias("e")
+        per_row = bucketed(edges.select(*_ROW, edge).repartition(self.buckets, *_ROW).groupBy(*_ROW).agg(F.collect_set("e").alias("edges")), "edges", self.buckets, _ROW, _ROW)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(x, y, e, whole[e["s"] : e["s"] + e["n"] - 1 + length]) for x, y, whole, own in zip(*(b.column(c).to_pylist() for c in ("r1", "r2", "bytes", "edges")), strict=True) for e in own]
+                flags = [pa.array([e[c] for _, _, e, _ in rows], k) for c, k in (("head", pa.int64()), ("gram", pa.int64()), ("crowded", pa.bool_()), ("full", pa.bool_()), ("s", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *flags, pa.array([r[3] for r in rows], pa.binary())], names=[*_ROW, *_KEY, "crowded", "full", "s", "bytes"])
+
+        kind = "r1 long, r2 long, head long, gram long, crowded boolean, full boolean, s long, bytes binary"
+        # one join a batch of texts, so that none needs an exchange
+        parts = [table(spark, t).join(table(spark, per_row), _ROW).select(*_ROW, "bytes", "edges").mapInArrow(cut, kind) for t in self.texts]
+        contexts = written(functools.reduce(DataFrame.union, parts), "contexts")
+        dropped(spark, per_row)
+        few = contexts.where("not crowded").select(*_KEY, *_ROW, "s", "full", "bytes").repartition(*_KEY).sortWithinPartitions(*_KEY)
+        out = few.mapInArrow(functools.partial(_compare, length=length), "r1 long, r2 long, a long, b long")
+        if contexts.where("crowded").isEmpty():
+            return out
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h, own, j = _window_hashes(b.column("bytes").to_pylist(), length)
+                own_ = pa.array(own)
+                yield pa.RecordBatch.from_arrays([b.column("gram").take(own_), pa.array(h.view(np.int64)), b.column("r1").take(own_), b.column("r2").take(own_), pa.array(b.column("s").to_numpy()[own] + j), b.column("full").take(own_)], names=["gram", "h", *_ROW, "a", "full"])
+
+        many = written(contexts.where("crowded").mapInArrow(spread, "gram long, h long, r1 long, r2 long, a long, full boolean"), "windows")
+        again = written(many.groupBy("gram", "h").count().where(F.col("count") > 1).select("gram", "h"), "again")
+        return out.union(many.where("not full").join(again, ["gram", "h"], "left_semi").select(*_ROW, "a", (F.col("a") + length).alias("b")))
+
+    def _push(self, batch: str) -> None:
+        """Put a batch's array on level 0, and merge levels of one size as a carry does."""
+        # an array lies by hash of head and gram, which is enough for joins by these and run
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        own = F.min(F.struct(*_ROW, "s", "n")).alias("own")
+        one = table(self.spark, batch).groupBy(*_KEY, "run").agg(own, F.sum("m").alias("m")).select(*_KEY, "run", "own.*", "m")
+        gone, level = [batch], 0
+        while level < len(self.levels) and (old := self.levels[level]):
+            path = self._write(self.merged(table(self.spark, old), one), level + 1)
+            dropped(self.spark, old, *gone)
+            one, gone, self.levels[level], level = table(self.spark, path), [path], None, level + 1
+        if level == 0:
+            gone = [self._write(one, 0)]
+            dropped(self.spark, batch)
         self.levels += [None] * (level + 1 - len(self.levels))
-        self.levels[level] = path
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(_LINES).parquet(path)
-
-    def all(self) -> DataFrame:
-        """The suffixes of all levels."""
-        paths = [p for p in self.levels if p]
-        return self.spark.read.schema(_LINES).parquet(*paths) if paths else self.spark.createDataFrame([], _LINES)
-
-
-def with_rid(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
-def merge_scan(lines: DataFrame) -> DataFrame:
-    """The suffixes whose gram occurs again: rid, s, n, full (all windows repeated), and for those whose bytes have to
-    be compared gram and crowded (too many different runs for one task); gram is null otherwise.
-
-    Grams and runs are counted by aggregates with partial sums, and the counts joined back, so that a gram which a third
-    of all documents has is split over tasks. Unique grams, more than half of all, go first.
-    """
-    shared = lines.groupBy("gram").count().where(F.col("count") > 1).select("gram")
-    near = written(lines.join(written(shared, "shared"), "gram"), "near")
-    runs = near.groupBy("gram", "run").agg(F.count("*").alias("m"), F.min(F.struct("rid", "s", "n")).alias("own"))
-    runs = written(runs, "runs")
-    kinds = written(runs.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "kinds")
-    full = near.join(runs.where(F.col("m") > 1).select("gram", "run"), ["gram", "run"])
-    full = full.select("rid", "s", "n", F.lit(True).alias("full"), F.lit(None).cast("long").alias("gram"), F.lit(False).alias("crowded"))
-    compare = runs.join(kinds, "gram").select("own.rid", "own.s", "own.n", (F.col("m") > 1).alias("full"), "gram", (F.col("kinds") > CROWDED).alias("crowded"))
-    return full.unionByName(compare)
+        self.levels[level] = gone[0]
+
+    def _write(self, rows: DataFrame, level: int) -> str:
+        return bucketed(rows, f"array-l{level}", self.buckets, _KEY, [*_KEY, "run"])
+
+    def merged(self, x: DataFrame, y: DataFrame) -> DataFrame:
+        """Two arrays as one: a full merge join without an exchange; of equal runs the first owner stays."""
+        keys = [*_KEY, "run"]
+        x, y = x.alias("x"), y.hint("merge").alias("y")
+        both = x.join(y, functools.reduce(lambda p, q: p & q, (F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys)), "full_outer")
+        own = F.least(*(F.when(F.col(f"{t}.m").isNotNull(), F.struct(*(F.col(f"{t}.{c}").alias(c) for c in (*_ROW, "s", "n")))) for t in "xy")).alias("own")
+        m = (F.coalesce("x.m", F.lit(0)) + F.coalesce("y.m", F.lit(0))).alias("m")
+        return both.select(*(F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in keys), own, m).select(*keys, "own.*", "m")
+
+    def removed(self, latest: bool = False, texts: bool = False) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of all batches (or the latest), and `kept`
+        (binary) if `texts`."""
+        if not self.texts:
+            return self.spark.createDataFrame([], _DIGEST + (", kept binary" if texts else ""))
+        spans = functools.reduce(DataFrame.union, self.spans).select(*_ROW, F.struct("a", "b").alias("span"))
+        per_row = spans.groupBy(*_ROW).agg(F.collect_set("span").alias("spans"))
+        per_row = bucketed(per_row, "spans", self.buckets, _ROW, _ROW)
+        parts = [table(self.spark, t).join(table(self.spark, per_row), _ROW, "left").select("doc_id", "bytes", "spans") for t in (self.texts[-1:] if latest else self.texts)]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
+
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [(whole, _merged([(x["a"], x["b"]) for x in spans or []])) for whole, spans in zip(b.column("bytes").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+                digests = [_digest(*x) for x in made]
+                columns = [b.column("doc_id"), *(pa.array([d[k] for d in digests], pa.int64()) for k in range(3)), pa.array([d[3] for d in digests], pa.string())]
+                columns += [pa.array([_kept(*x) for x in made], pa.binary())] if texts else []
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return functools.reduce(DataFrame.union, [p.mapInArrow(digest, _DIGEST + (", kept binary" if texts else "")) for p in parts])
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -193,17 +318,18 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(whole: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
-    kept, at = hashlib.sha256(), 0
+def _kept(whole: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, parts = 0, []
     for a, b in spans:
-        kept.update(whole[at:a])
+        parts.append(whole[at:a])
         at = b
-    kept.update(whole[at:])
-    return len(whole), sum(b - a for a, b in spans), len(spans), kept.hexdigest()
+    return b"".join([*parts, whole[at:]])
+
+
+def _digest(whole: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
+    return len(whole), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(whole, spans)).hexdigest()
 
 
-_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_EDGES = pa.list_(pa.struct([("gram", pa.int64()), ("crowded", pa.bool_()), ("full", pa.bool_()), ("s", pa.int64()), ("bytes", pa.binary())]))
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -227,120 +353,46 @@ def _window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in (hashes, owner, place)) if hashes else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lines: DataFrame | None = None, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and `kept` (binary) if `texts`.
-
-    `lines`: the suffixes to compare with, if not those of `docs` alone (as of `SuffixLevels.all`).
-    """
-    import zstandard
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = with_rid(docs)
-    found = written(merge_scan(suffixes(rows, length, gram) if lines is None else lines), "repeated")
-    span = F.when(F.col("full") & F.col("gram").isNull(), F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b")))
-    edge = F.when(F.col("gram").isNotNull(), F.struct("gram", "crowded", "full", "s", "n"))
-    per_row = found.groupBy("rid").agg(F.collect_set(span).alias("spans"), F.collect_set(edge).alias("edges"))
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor()
-        for b in batches:
-            packed = [z.compress((t.as_py() or "").encode()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(packed, pa.binary())], names=["rid", "doc_id", "z"])
-
-    squeezed = rows.mapInArrow(squeeze, "rid long, doc_id long, z binary")
-    extra = ", kept binary" if texts else ""
-
-    def out(doc_id: list, made: list[tuple[bytes, list[tuple[int, int]]]]) -> list[pa.Array]:
-        digests = [_digest(w, s) for w, s in made]
-        columns = [pa.array(doc_id, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in range(3)), pa.array([d[3] for d in digests], pa.string())]
-        if texts:
-            kept = []
-            for w, s in made:
-                at, parts = 0, []
-                for a, b in s:
-                    parts.append(w[at:a])
-                    at = b
-                kept.append(b"".join([*parts, w[at:]]))
-            columns.append(pa.array(kept, pa.binary()))
-        return columns
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unz = zstandard.ZstdDecompressor()
-        for b in batches:
-            made, left, spans_left, edges_left = [], [], [], []
-            for z, spans, edges in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), b.column("edges").to_pylist(), strict=True):
-                whole = unz.decompress(z) if z else b""
-                spans = _merged([(x["a"], x["b"]) for x in spans or []])
-                made.append((whole, spans))
-                left.append(z if edges else None)
-                spans_left.append([{"a": x, "b": y} for x, y in spans] if edges else None)
-                edges_left.append([e | {"bytes": whole[e["s"] : e["s"] + e["n"] - 1 + length]} for e in edges] if edges else None)
-            edges_left = [None if x is None else [{k: v for k, v in e.items() if k != "n"} for e in x] for x in edges_left]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), *out(b.column("doc_id").to_pylist(), made), pa.array(left, pa.binary()), pa.array(spans_left, _SPANS), pa.array(edges_left, _EDGES)], names=["rid", *names, "z", "spans", "edges"])
-
-    kind = f"rid long, {_DIGEST}{extra}, z binary, spans array<struct<a:bigint,b:bigint>>, edges array<struct<gram:bigint,crowded:boolean,full:boolean,s:bigint,bytes:binary>>"
-    joined = squeezed.join(per_row, "rid", "left").select("rid", "doc_id", "z", "spans", "edges")
-    seen = written(joined.mapInArrow(first, kind), "seen")
-
-    contexts = seen.where(F.col("z").isNotNull()).select("rid", F.explode("edges").alias("e")).select("rid", "e.*")
-    few = contexts.where(~F.col("crowded")).select("gram", "rid", "s", "full", "bytes").repartition("gram").sortWithinPartitions("gram")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table.num_rows:
-                return
-            h, own, j = _window_hashes(table.column("bytes").to_pylist(), length)
-            h = _mix(h + table.column("gram").to_numpy().view(np.uint64)[own] * np.uint64(0x2545F4914F6CDD1D))
-            _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-            twice = (n[back] > 1) & ~table.column("full").to_numpy(zero_copy_only=False)[own]
-            own, j = own[twice], j[twice]
-            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (j[1:] != j[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
-            last = np.append(new[1:], len(own)) - 1 if len(own) else new
-            s = table.column("s").to_numpy()[own[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(table.column("rid").to_numpy()[own[new]]), pa.array(s + j[new]), pa.array(s + j[last] + length)], names=["rid", "a", "b"])
-
-        rows_held = 0
-        for b in batches:
-            held.append(b)
-            rows_held += b.num_rows
-            if rows_held >= 2048:  # whole grams only; the last may go on in the next batch
-                table = pa.Table.from_batches(held)
-                g = table.column("gram").to_numpy()
-                cut = int(np.searchsorted(g, g[-1], "left"))
-                yield from close(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-                rows_held = table.num_rows - cut
-        if held:
-            yield from close(pa.Table.from_batches(held))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, own, j = _window_hashes(b.column("bytes").to_pylist(), length)
-            at = b.column("s").to_numpy()[own] + j
-            yield pa.RecordBatch.from_arrays([b.column("gram").take(pa.array(own)), pa.array(h.view(np.int64)), b.column("rid").take(pa.array(own)), pa.array(at), b.column("full").take(pa.array(own))], names=["gram", "h", "rid", "a", "full"])
-
-    many = contexts.where("crowded").select("gram", "rid", "s", "full", "bytes").mapInArrow(spread, "gram long, h long, rid long, a long, full boolean")
-    again = written(many.groupBy("gram", "h").count().where(F.col("count") > 1).select("gram", "h"), "again")
-    crowd = many.where(~F.col("full")).join(again, ["gram", "h"], "left_semi").select("rid", "a", (F.col("a") + length).alias("b"))
-    more = few.mapInArrow(compare, "rid long, a long, b long").union(crowd)
-    more = more.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("more"))
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unz = zstandard.ZstdDecompressor()
-        for b in batches:
-            made = []
-            for z, spans, others in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), b.column("more").to_pylist(), strict=True):
-                made.append((unz.decompress(z), _merged([(x["a"], x["b"]) for x in [*(spans or []), *(others or [])]])))
-            yield pa.RecordBatch.from_arrays(out(b.column("doc_id").to_pylist(), made), names=names)
-
-    open_ = seen.where(F.col("z").isNotNull()).select("rid", "doc_id", "z", "spans").join(more, "rid", "left")
-    closed = seen.where(F.col("z").isNull()).select(*names)
-    return closed.unionByName(open_.select("doc_id", "z", "spans", "more").mapInArrow(last, f"{_DIGEST}{extra}"))
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """r1, r2, a, b of windows that occur in two contexts of a gram; the rows come sorted by gram."""
+
+    def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        h, own, j = _window_hashes(table.column("bytes").to_pylist(), length)
+        h = _mix(h + table.column("gram").to_numpy().view(np.uint64)[own] * np.uint64(0x2545F4914F6CDD1D))
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        twice = (n[back] > 1) & ~table.column("full").to_numpy(zero_copy_only=False)[own]
+        own, j = own[twice], j[twice]
+        new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (j[1:] != j[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
+        last = np.append(new[1:], len(own)) - 1 if len(own) else new
+        s = table.column("s").to_numpy()[own[new]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[own[new]]) for c in _ROW), pa.array(s + j[new]), pa.array(s + j[last] + length)], names=[*_ROW, "a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= 2048:  # whole grams only; the last may go on in the next batch
+            table = pa.Table.from_batches(held)
+            head, g = table.column("head").to_numpy(), table.column("gram").to_numpy()
+            cut = int(np.flatnonzero((g != g[-1]) | (head != head[-1]))[-1]) + 1 if (g != g[-1]).any() else 0
+            yield from close(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows = table.num_rows - cut
+    if held:
+        yield from close(pa.Table.from_batches(held))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4, texts: bool = False, crowded: int | None = None) -> DataFrame:
+    """`SuffixLevels.removed` of all rows, which are dealt to batches by a hash of their id and added one after another."""
+    levels = SuffixLevels(docs.sparkSession, length, gram, crowded)
+    for k in range(batches):
+        levels.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    out = levels.removed(texts=texts)
+    dropped(docs.sparkSession, *(level for level in levels.levels if level))
+    return out
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
