@@ -314,12 +314,97 @@ def test_inconsistent_slots_leave_words_that_are_repeated(spark):
     assert [r.doc_id for r in decontam.decontaminate(odd(spark, [*texts.items()]), bench).collect()] == [3]
 
 
-def test_blocks_of_a_large_benchmark(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK", 200)
-    items = [(k, f"{QUESTION[:60]} number {k} and some more words that only item {chr(97 + k) * 5} has got in it") for k in range(12)]
+def test_small_filters_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_BITS", 1 << 12)
+    items = [(k % 9, f"{QUESTION[:60]} number {k} and some more words that only item {chr(97 + k) * 5} has got in it") for k in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.contaminated(odd(spark, items), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} >= {(k, k) for k in range(12)}
+    found = decontam.contaminated(odd(spark, [(k, t) for k, (_, t) in enumerate(items)]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= {(k, k % 9) for k in range(12)}
+
+
+def test_scripts_without_spaces(spark):
+    item = "小明有十二个苹果他给了小红五个然后走路去学校上课"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontam.contaminated(odd(spark, [(1, f"前面{item}后面"), (2, "今天天气很好我们去公园散步吧")]), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 1)]
+
+
+def plain_contaminated(item, doc):
+    """Whether an item of words contaminates a document: every diagonal, window by window, by the rules as they are written."""
+    import re
+
+    def read(text):
+        words = re.findall(r"[^\W_]+|[.!?\n]", text)
+        out, start, number = [], True, False
+        for w in words:
+            if w in ".!?\n":
+                start = True
+                continue
+            low = w.lower()
+            is_number = low[0].isdigit() or low in decontam.NUMBERS
+            kind = "N" if is_number else "A" if w[0].isupper() and w[1:].islower() and not start else "U" if low in decontam.UNITS and number else ""
+            if low in decontam.UNITS and number:
+                kind = "U"
+            out.append((kind or low, low))
+            start, number = False, is_number
+        return out
+
+    a, b = read(item), read(doc)
+    n = min(8, len(a))
+    if n < 4:
+        return False
+    covered, longest = set(), 0
+    for shift in range(-len(a), len(b)):
+        at = [i for i in range(len(a)) if 0 <= i + shift < len(b)]
+        template, plain = set(), set()
+        for i in at:
+            own = range(i, i + n)
+            if i + n > len(a) or i + n + shift > len(b):
+                continue
+            if all(a[k][1] == b[k + shift][1] for k in own):
+                plain.update(own)
+                template.update(own)
+            elif all(a[k][0] == b[k + shift][0] for k in own) and 2 * sum(a[k][0] == a[k][1] for k in own) >= n:
+                template.update(own)
+        if not template:
+            continue
+        slots = [(a[k][0], a[k][1], b[k + shift][1]) for k in template if a[k][0] != a[k][1]]
+        forth = {x: {z for _, y, z in slots if y == x} for _, x, _ in slots}
+        back = {z: {y for t, y, w in slots if w == z and t != "N"} for t, _, z in slots if t != "N"}
+        if any(len(v) > 1 for v in [*forth.values(), *back.values()]):
+            template = plain
+        covered |= template
+        run = 0
+        for k in range(len(a)):
+            run = run + 1 if k in template and a[k][1] == b[k + shift][1] else 0
+            longest = max(longest, run)
+    return len(covered) >= 0.6 * len(a) or longest >= 13
+
+
+def test_templates_and_slots_by_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    names, units, plain = "Maria Peter Clara Tom Anna Eva".split(), "km miles hours".split(), "has gives apples to school before she walks with coins market river stamps museum of town".split()
+
+    def sentence(k):
+        out = ["So"]
+        for _ in range(k):
+            out.append(rng.choice([rng.choice(names), str(rng.randrange(2, 6)), f"{rng.randrange(2, 5)} {rng.choice(units)}", *rng.choices(plain, k=5)]))
+        return " ".join(out)
+
+    items = [sentence(rng.randrange(3, 26)) for _ in range(25)]
+    docs = []
+    for _ in range(160):
+        words = rng.choice(items).split()
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(words))
+            w = words[k]
+            words[k] = rng.choice(names) if w in names else str(rng.randrange(2, 9)) if w.isdigit() else rng.choice(plain)
+        docs.append(" ".join([sentence(rng.randrange(0, 9)), *words, sentence(rng.randrange(0, 9))]))
+    found = decontam.contaminated(odd(spark, list(enumerate(docs))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if plain_contaminated(item, doc)}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and 20 < len(want) < 25 * 160 // 2
 
 
 def test_planted_passages(spark):
