@@ -13,12 +13,14 @@ only. Equal fingerprints are collapsed beforehand, so copies cost nothing there.
 `near_duplicates` works at a similarity instead (Jaccard on sets of shingles), in two passes, both verified on whole
 texts. The first joins clumps of copies at little cost: its candidates come from the grid and from bands of a
 one-permutation min-hash, in whose cells each member meets `PICKS` members only. The second finds every link that is
-left: sets are put in one order of all shingles, and two that are alike share one of their first shingles (a prefix
+left: sets are put in one order of all shingles, and two that are alike share so many of their first shingles (a prefix
 filter, exact under any order; shingles that are common in a sample come last, so that cells stay small). Members of a
-cell that the first pass has joined are not compared again.
+cell that the first pass has joined are not compared again. Texts are known by 128 bits of hash.
 
-Null or empty text: no words. Null ids have no part in a component's smallest id (null where all are null). Repeated
-rows are linked like any others. Empty tables give no rows; extra columns are kept by `near_duplicates`.
+Null or empty text: no words. Very long texts are read whole, a row at a time. Null ids have no part in a component's
+smallest id (null where all are null); of a group, `deduplicate` keeps the smallest id, null last, ties by hash of the
+text, and one of rows that repeat both. Repeated rows are linked like any others. Empty tables give no rows; extra
+columns are kept by `near_duplicates` and `deduplicate`, whatever their names (but `_nd_group`, which the former adds).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import fresh, packed, small_batches, written
 from .components import components
 
 SEGMENTS = 32
@@ -88,10 +90,10 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     if not len(full):
         return np.zeros(BANDS, np.int64)
     bins = bins[full[np.searchsorted(full, np.arange(n)) % len(full)]] + np.arange(n, dtype=np.uint64)
-    key = np.full(BANDS, 1469598103934665603, np.uint64)
+    key = np.zeros(BANDS, np.uint64)
     for row in bins.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * np.uint64(1099511628211)
-        key ^= key >> np.uint64(29)
+        key = (key + row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
     return key.view(np.int64)
 
 
@@ -113,9 +115,9 @@ def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.n
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more of a sample of the different texts (_nd_text, text), sorted, and their counts."""
+    """Shingles in three or more of a sample of the different texts (k1, k2, text), sorted, and their counts."""
     n = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod("_nd_text", F.lit(n)) == 0).groupBy("_nd_text").agg(F.first("text").alias("text")).select("text")
+    sample = texts.where(F.pmod("k1", F.lit(n)) == 0).groupBy("k1", "k2").agg(F.first("text").alias("text")).select("text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,11 +227,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _left_open(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """a, b of all pairs of nodes with different roots that may be as similar, by the prefix filter.
 
-    Two alike sets overlap by similarity / (1 + similarity) of their sizes' sum at least, so the first shingle they share
-    must have as many left behind it, itself included, in both. In each cell the pairs within its most frequent root
+    Two alike sets overlap by similarity / (1 + similarity) of their sizes' sum at least. What they share is either in
+    both prefixes, or behind the prefix of the one whose prefix ends first; so as many shingles as are missing behind
+    the shorter of the two rests must be shared by the prefixes. In each cell the pairs within its most frequent root
     are left out before the join.
     """
-    tokens = sketches.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    tokens = sketches.select("node", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").count().where(F.col("count") > 1).select("token"), "shared")
     tokens = tokens.join(shared, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tokens = written(tokens, "tokens")
@@ -237,24 +240,26 @@ def _left_open(sketches: DataFrame, roots: DataFrame, similarity: float) -> Data
     heads = written(heads.where(F.col("roots") > 1).select("token", "most"), "heads")
     tokens = written(tokens.join(heads, "token"), "open")
     x, y = tokens.where(F.col("root") != F.col("most")).alias("x"), tokens.alias("y")
-    overlap = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    alike = (F.col("x.rest") >= overlap) & (F.col("y.rest") >= overlap)
+    sizes = (F.col("x.n") >= similarity * F.col("y.n") - 1e-6) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6)
     once = (F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & alike)
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & sizes)
+    missing = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - F.greatest("x.rest", "y.rest") - 1e-6
+    both = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), missing.alias("missing"))
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("missing").alias("missing")).where("shared >= missing").select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b whose texts (_nd_text, text) are as similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes whose texts (k1, k2, text; names: k1, k2, node) are as similar."""
     pairs = written(pairs.distinct(), "pairs")
     # the texts that occur in pairs, one row each; copies are collapsed before the shuffle
-    asked = written(pairs.select(F.col("a").alias("_nd_text")).union(pairs.select(F.col("b").alias("_nd_text"))).distinct(), "asked")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = written(names.join(asked, "node", "left_semi"), "asked")
     if asked.count() <= FEW:
-        whole = texts.join(F.broadcast(asked), "_nd_text", "left_semi").groupBy("_nd_text").agg(F.first("text").alias("text"))
+        whole = texts.join(F.broadcast(asked), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
     else:
-        whole = texts.groupBy("_nd_text").agg(F.first("text").alias("text")).join(asked, "_nd_text", "left_semi")
+        whole = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(asked, ["k1", "k2"]).select("node", "text")
     whole = written(whole, "texts")
-    both = pairs.join(whole.select(F.col("_nd_text").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("_nd_text").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -282,12 +287,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return written(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "alike")
 
 
+def _hashes(text: Column | str) -> tuple[Column, Column]:
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """All rows and columns, with _nd_group: rows with the same one are alike, directly or through others."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.withColumn("_nd_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = keyed.select("_nd_text", "text")
+    k1, k2 = _hashes("text")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
     held = spark.sparkContext.broadcast(common_shingles(texts, words))  # COMMON shingles at most
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,13 +314,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             ends = np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)
             cuts = np.cumsum([0, *map(len, first)], dtype=np.int32)
             first = np.concatenate([np.zeros(0, np.int64), *first])
-            columns = [b.column("_nd_text"), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(first))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "keys", "n", "prefix"])
-
-    # copies: the same sketch, so one row of each text is left
-    sketches = texts.mapInArrow(sketch, "node long, fp long, keys array<long>, n int, prefix array<long>")
-    sketches = sketches.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "keys", "n", "prefix")))
-    sketches = written(sketches, "sketches")
+            columns = [b.column("k1"), b.column("k2"), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(first))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "fp", "keys", "n", "prefix"])
+
+    # copies: the same sketch, so one row of each text is left, which gets a number
+    sketches = texts.mapInArrow(sketch, "k1 long, k2 long, fp long, keys array<long>, n int, prefix array<long>")
+    sketches = sketches.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("fp", "keys", "n", "prefix")))
+    sketches = written(sketches.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    names = sketches.select("k1", "k2", "node")
     cells = sketches.select("node", F.posexplode("keys").alias("band", "key"))
     picks = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "band", "node")) for k in range(PICKS)))
     picked = cells.groupBy("band", "key").agg(F.array_distinct(picks).alias("picks"), F.count("*").alias("n")).where(F.col("n") > 1)
@@ -321,22 +332,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     near = links(fps, radius)
     near = near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = banded.union(same).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    alike = _verified(pairs, texts, words, similarity)
+    alike = _verified(pairs, texts, names, words, similarity)
     joined = written(components(alike), "joined")
-    more = _verified(_left_open(sketches, joined, similarity), texts, words, similarity)
+    more = _verified(_left_open(sketches, joined, similarity), texts, names, words, similarity)
     # the second pass links groups of the first
-    roots = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("_nd_text"), F.col("root").alias("_nd_root"))
-    return keyed.join(roots, "_nd_text", "left").withColumn("_nd_group", F.coalesce("_nd_root", "_nd_text")).drop("_nd_text", "_nd_root")
+    roots = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    # a group goes by the hashes of its root's text; texts that are alone go by their own
+    of = names.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.col("node").alias("root"))
+    groups = written(names.join(roots, "node").join(of, "root").select("k1", "k2", "g1", "g2"), "groups")
+    columns = [c for c in docs.columns if c != "_nd_group"]
+    keyed = docs.select(packed(columns).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    group = F.struct(F.coalesce("g1", "k1").alias("k1"), F.coalesce("g2", "k2").alias("k2")).alias("_nd_group")
+    return keyed.join(groups, ["k1", "k2"], "left").select("row.*", group)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id (null last)."""
     columns = docs.columns
-    # hashed before the join with the groups, so that texts stay out of it
-    grouped = near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("_nd_h")), words, similarity, radius)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_nd_h").alias("h"))
-    first = written(grouped.groupBy("_nd_group").agg(F.min(order).alias("first")), "first").select(F.col("first.doc_id").alias("_nd_id"), F.col("first.h").alias("_nd_hash"))
-    keyed = docs.withColumn("_nd_h", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_nd_id"]) & (keyed["_nd_h"] == first["_nd_hash"]), "left_semi")
+    own = docs.select("doc_id", "text", *(h.alias(c) for h, c in zip(_hashes("text"), ("h1", "h2"), strict=True)))
+    grouped = near_duplicates(own, words, similarity, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = written(grouped.groupBy("_nd_group").agg(F.min(order).alias("first")), "first").select(F.col("first.doc_id").alias("_id"), F.col("first.h1").alias("_h1"), F.col("first.h2").alias("_h2"))
+    h1, h2 = _hashes(docs["text"])
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (h1 == first["_h1"]) & (h2 == first["_h2"]), "left_semi")
     # rows that repeat id and text
-    return kept.dropDuplicates(["doc_id", "_nd_h"]).select(*columns)
+    hashed = fresh(columns, "hash")
+    return kept.withColumn(hashed, F.struct(*_hashes(kept["text"]))).dropDuplicates(["doc_id", hashed]).select(*columns)
