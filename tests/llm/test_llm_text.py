@@ -69,6 +69,68 @@ def test_mixtures_and_undetermined_texts(spark):
     assert lang_id.identify(odd(spark, []), model).count() == 0
 
 
+def test_several_languages_in_equal_shares_are_kept(spark):
+    alphabets = ["abcdefg", "hijklmn", "opqrstu", "αβγδεζη", "абвгдеж"]
+    import random
+
+    rng = random.Random(3)
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(n))
+    rows = [(10 * k + j, text(a, 60), f"l{k}") for k, a in enumerate(alphabets) for j in range(6)]
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = " ".join(text(a, 60) for a in alphabets)
+    share, _ = lang_id.shares(model, [mixed])
+    assert (share[0] > 0.1).sum() == 5 and share.max() < 0.3
+    frame = odd(spark, [(1, mixed), (2, "12 34"), (3, rows[0][1])]).withColumn("lid_text", F.lit(9))
+    kept = lang_id.keep_identified(frame, model)
+    assert {r.doc_id for r in kept.collect()} == {1, 3} and {r.lid_text for r in kept.collect()} == {9}
+    with pytest.raises(ValueError):
+        lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=4)
+
+
+def plain_mixture(p, counts, penalty=3.0, rounds=8):
+    """Shares of one text by EM, word for word as the module describes it."""
+    import math
+
+    k = len(p[0])
+
+    def em(share):
+        for _ in range(rounds):
+            new = [0.0] * k
+            for h, c in counts.items():
+                weights = [share[j] * p[h][j] for j in range(k)]
+                for j in range(k):
+                    new[j] += c * weights[j] / sum(weights)
+            share = [x / sum(counts.values()) for x in new]
+        return share, sum(c * math.log(sum(share[j] * p[h][j] for j in range(k))) for h, c in counts.items())
+
+    alone = [sum(c * math.log(p[h][j]) for h, c in counts.items()) for j in range(k)]
+    top = max(range(k), key=lambda j: alone[j])
+    best, value = [float(j == top) for j in range(k)], alone[top]
+    full, _ = em([1 / k] * k)
+    order = sorted(range(k), key=lambda j: -full[j])
+    for m in range(2, k + 1):
+        if full[order[m - 1]] <= 0.01:
+            break
+        start = [full[j] if j in order[:m] else 0.0 for j in range(k)]
+        share, like = em([x / sum(start) for x in start])
+        like -= penalty * (m - 1) * math.log(sum(counts.values()) + 1) / 2
+        if like > value:
+            best, value = share, like
+    return best
+
+
+def test_mixtures_by_brute_force():
+    rng = np.random.default_rng(12)
+    p = rng.dirichlet(np.full(lang_id.BUCKETS, 0.05), 4).T.astype(np.float32) + np.float32(1e-7)
+    model = lang_id.Model(list("abcd"), p)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(list(letters + "  "), rng.integers(5, 400))) for _ in range(12)]
+    share, _ = lang_id.bounded_shares(model, texts)
+    for text, found in zip(texts, share, strict=True):
+        h = Counter(lang_id._hashes(text)[0].tolist())
+        assert np.allclose(plain_mixture(p.astype(float), h), found, atol=1e-6)
+
+
 def test_long_texts_are_counted_in_segments(monkeypatch):
     text = "Der Text ist lang und " * 300
     _, h, c = lang_id._counts([text])

@@ -1,17 +1,17 @@
 """Language identification by mixture inference (operator 2).
 
 Training counts hashed character trigrams per language over a bounded, documented sample of labelled rows: up to
-`SAMPLE` documents a language, chosen by the smallest hash of their id in each of `SAMPLE` slots, whole texts, and the
-`MAX_LANGS` most frequent labels at most. The model is a table of smoothed trigram probabilities.
+`SAMPLE` documents a language, chosen by the smallest hash of their id in each of `SAMPLE` slots, whole texts. All labels
+are learned; more than `MAX_LANGS` of them are an error. The model is a table of smoothed trigram probabilities.
 
 For each document, expectation-maximisation estimates the shares of all languages from its trigrams; the languages by
 falling share give nested sets, each is fitted again, and the set with the best likelihood less a penalty (a multiple
 of BIC's) is kept. The language with the largest share is predicted; the score is its share times its probability
-against the other languages alone.
+against the other languages alone. Ties go to the first language by name.
 
 `und` with score 0: null text, text without a letter, or no language learned. Repeated rows are judged each, null ids
-are judged but not learned from, empty tables give no rows, and other columns are kept if asked for. Whole texts are
-counted, long ones in segments.
+are judged but not learned from, empty tables give no rows, and other columns are kept if asked for, whatever their
+names (`lid_lang`, `lid_score` and `lid_langs` are the operator's). Whole texts are counted, very long ones in segments.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import chunks, fresh, small_batches
 
 BUCKETS = 1 << 16
 SAMPLE = 256
 MAX_LANGS = 500
+#: Bytes of a table of trigrams by languages that a task works on, about.
+HELD = 32 << 20
 SEGMENT = 1 << 18
 
 
@@ -97,10 +99,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS,
     small_batches(spark)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     slots = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(sample)).alias("slot"))
-    slots = slots.agg(F.min_by("doc_id", F.xxhash64(F.lit(7), "doc_id")).alias("doc_id"), F.count("*").alias("n"))
-    langs = slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    chosen = slots.join(F.broadcast(langs.select("lang")), "lang").select("doc_id", "lang")  # at most max_langs rows
-    chosen = spark.createDataFrame(chosen.collect(), "doc_id long, lang string")  # at most max_langs * sample rows
+    slots = slots.agg(F.min_by("doc_id", F.xxhash64(F.lit(7), "doc_id")).alias("doc_id"))
+    if (n := rows.select("lang").distinct().count()) > max_langs:
+        raise ValueError(f"{n} labels; a model has {max_langs} languages at most")
+    chosen = spark.createDataFrame(slots.select("doc_id", "lang").collect(), "doc_id long, lang string")  # at most max_langs * sample rows
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +165,14 @@ def shares(model: Model, texts: Sequence[str | None], penalty: float = 3.0, roun
     return out, sure
 
 
+def bounded_shares(model: Model, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """`shares`, a bounded number of characters at a time."""
+    most = max(1 << 14, HELD // 8 // max(1, len(model.langs)))
+    parts = [shares(model, group) for group in chunks((t or "" for t in texts), most)]
+    empty = np.zeros((0, len(model.langs))), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(empty, *parts, strict=True))
+
+
 def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
     """`keep` (all columns if None), lid_lang, lid_score, lid_langs (number of languages kept)."""
     spark = docs.sparkSession
@@ -175,7 +185,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -
         m = held.value
         names = np.array([*m.langs, "und"], object)
         for b in batches:
-            share, sure = shares(m, b.column(0).to_pylist())
+            share, sure = bounded_shares(m, b.column(0).to_pylist())
             has = share.any(axis=1) if len(m.langs) else np.zeros(b.num_rows, bool)
             top = np.where(has, share.argmax(1), len(m.langs)) if len(m.langs) else np.zeros(b.num_rows, int)
             score = np.clip(share.max(1) * sure, 0, 1) if len(m.langs) else np.zeros(b.num_rows)
@@ -186,26 +196,29 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
-    """The rows, with all their columns, that have a language with a score of at least `least`.
+    """The rows, with all their columns, whose language set is sure: one of several languages has won by its penalised
+    likelihood, one of a single language needs a probability of `least` against the others alone.
 
     Without any language learned, rows with a letter are kept.
     """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
+    own = fresh(docs.columns, "lid_text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            texts = b.column("_lid_text").to_pylist()
+            texts = b.column(own).to_pylist()
             if m.langs:
-                share, sure = shares(m, texts)
-                good = share.max(1) * sure >= least
+                share, sure = bounded_shares(m, texts)
+                kept = (share > 0).sum(1)
+                good = (kept > 1) | ((kept == 1) & (sure >= least))
             else:
                 good = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
-            yield b.filter(pa.array(good)).drop_columns(["_lid_text"])
+            yield b.filter(pa.array(good)).drop_columns([own])
 
-    return docs.withColumn("_lid_text", F.col("text")).mapInArrow(keep, docs.schema)
+    return docs.withColumn(own, F.col("text")).mapInArrow(keep, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
