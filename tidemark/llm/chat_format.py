@@ -11,7 +11,7 @@ The control strings are single added tokens, so token ends agree with turn ends.
 doubled, and one is put behind the first character of each control string, which undoes reversibly.
 
 Turns are ordered by turn, then role, then text, nulls first. Null text and null role: empty. Rows without `conv_id` are
-conversations of their own, one for each distinct row. Repeated rows are turns each. Empty tables give no rows; extra
+conversations of their own, one for each row. Repeated rows are turns each. Empty tables give no rows; extra
 columns are ignored. A conversation is one training example and is handled in one row.
 """
 
@@ -113,9 +113,9 @@ def format_chats(conversations: DataFrame, tokenizer: str = "byte_bpe_50k.json")
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([f for f, _ in made], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], names=["conv_id", "formatted", "ids", "loss"])
 
     small_batches(conversations.sparkSession)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
-    rows = rows.groupBy("conv_id", alone.alias("_alone")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", alone)
+    rows = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return rows.select("conv_id", "turns").mapInArrow(encode, "conv_id long, formatted string, ids array<int>, loss array<boolean>")
 
 
