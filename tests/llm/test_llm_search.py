@@ -65,12 +65,20 @@ def test_urls(spark, in_plan):
     assert url_filter.judge(pages.limit(0), max_in_plan=in_plan).count() == 0
 
 
+def test_both_paths_agree_on_rules_without_tokens(spark):
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id long, url string")
+    patterns = [*url_filter.PATTERNS, ("^$", ()), ("[0-9]{2}/", ()), ("zz", ())]
+    one, two = (Counter(map(tuple, url_filter.judge(pages, patterns=patterns, max_in_plan=n).collect())) for n in (1000, 0))
+    assert one == two and sum(r[4] == "block" for r in one) > sum(r[4] == "block" for r in map(tuple, url_filter.judge(pages).collect()))
+    assert one[0, "", "", None, "block"] == 1
+
+
 def test_the_index_uses_the_rarest_token(spark):
     urls = spark.createDataFrame([(k, f"http://a{k}.example.net/en/x") for k in range(20)] + [(99, "http://b.org/fr/")], "page_id long, url string")
     host, path = url_filter.parts(F.col("url"))
     rules = url_filter.compile_rules(url_filter.SITE_RULES, url_filter.PATTERNS)
     index = dict((k, t) for t, k in url_filter._indexed(rules, urls.select(host.alias("_host"), path.alias("_path"))))
-    assert index[2] in ("example", "com", "de") and index[3] in ("org", "fr") and index[4] == "" and index[6] == "xxx"
+    assert index[2] in ("example", "com", "de") and index[3] in ("org", "fr") and index[4] == "adserver" and index[10] == "xxx" and "" not in index.values()
     assert "Python" not in url_filter.judge(urls)._jdf.queryExecution().toString()
 
 
@@ -159,9 +167,10 @@ def test_near_duplicates(spark):
             for _ in range(rng.randrange(0, 4)):
                 copy[rng.randrange(len(copy))] = word()
             rows.append((100 + len(rows), " ".join(copy)))
-    kept = simhash.deduplicate(odd(spark, rows))
+    frame = odd(spark, rows).withColumns({c: F.lit(1) for c in ("_nd_group", "_h1", "hash", "_id", "k1", "row", "g1")})
+    kept = simhash.deduplicate(frame)
     assert Counter(r.doc_id for r in kept.collect()) == survivors(rows, 0.8)
-    assert kept.columns == odd(spark).columns and simhash.deduplicate(odd(spark, [])).count() == 0
+    assert kept.columns == frame.columns and simhash.deduplicate(odd(spark, [])).count() == 0
 
 
 def test_a_star_of_near_copies_is_joined_whole(spark):
@@ -190,9 +199,7 @@ def test_the_first_shingles_of_alike_sets_meet(sampled):
         known = np.sort(common[: len(common) // 2]) if sampled else np.zeros(0, np.uint64)
         (n, p), (m, q) = (simhash.prefix(x, 0.8, (known, np.arange(3, 3 + len(known)))) for x in (a, b))
         if len(common) >= 0.8 * (n + m - len(common)):
-            shared = np.intersect1d(p, q)
-            overlap = 0.8 / 1.8 * (n + m) - 1e-6
-            assert any(n - list(p).index(x) >= overlap and m - list(q).index(x) >= overlap for x in shared)
+            assert len(np.intersect1d(p, q)) >= max(1, 0.8 / 1.8 * (n + m) - max(n - len(p), m - len(q)) - 1e-6)
 
 
 def test_bands_catch_pairs_at_the_threshold():
@@ -311,8 +318,7 @@ def test_batches_meet_all_before_them(spark):
     array = suffix_dedup.table(spark, levels.levels[2])
     assert [tuple(r) for r in array.select("head", "gram", "run").collect()] == [tuple(r) for r in array.select("head", "gram", "run", F.spark_partition_id().alias("p")).orderBy("p", "head", "gram", "run").select("head", "gram", "run").collect()]
     scan, merge = (f._jdf.queryExecution().executedPlan().toString() for f in (levels.merge_scan(suffix_dedup.table(spark, levels.levels[0])), levels.merged(array, suffix_dedup.table(spark, levels.levels[0]))))
-    assert scan.count("SortMergeJoin") == 5 and scan.count("Exchange") <= 1  # of what has met
-    assert "SortMergeJoin" in merge and "Exchange" not in merge
+    assert all("SortMergeJoin" in plan and "Exchange" not in plan for plan in (scan, merge))
 
 
 def test_repeats_query(spark):

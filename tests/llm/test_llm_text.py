@@ -218,6 +218,8 @@ def test_odd_conversations(spark):
     assert set(out) == {(1, 3, 0), (2, 1, 0), (None, 1, 0), (None, 1, 10), (3, 1, 99_000)}
     assert out[3, 1, 99_000].loss_sha256 == hashlib.sha256(("[/INST] ok " * 9000).encode()).hexdigest()
     assert chat_format.format_chats(frame.limit(0)).count() == 0
+    alone = spark.createDataFrame([(None, None, "a", None), (None, None, None, "a"), (None, 1, "a", "b"), (None, 1, "a", "b")], frame.drop("turns").schema)
+    assert [r.n_turns for r in chat_format.read_back(chat_format.format_chats(alone)).collect()] == [1, 1, 1, 1]
 
 
 def test_masks_are_found_by_binary_search():
@@ -280,6 +282,10 @@ def test_token_query(spark, tokenizer):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     out = queries()["op10_token_output"](spark, SF).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == starts(rows, tokenizer, 2)[0]
+    at = 0
+    for r in sorted(out, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.start)):
+        assert r.start == at
+        at += r.n_tokens
 
 
 # --- packing

@@ -3,14 +3,17 @@
 Two kinds of rules: `host/path` rules fit a host with all its subdomains and paths that start with theirs, and pattern
 rules are regular expressions over the whole url. Each rule is indexed by the rarest of its literal tokens (rarest in
 the urls at hand; the counting job returns a number per rule token). A url's own tokens fetch candidate rules, and
-only those run their regular expressions. Rules without a literal token are candidates of every url.
+only those run their regular expressions. A pattern with alternatives is best given as a rule for each, as only the words
+that all matches have are its tokens. Rules without a literal token are candidates of every url.
 
 The index is a constant in the plan, as buckets by token hash, up to `MAX_IN_PLAN` rules; a larger rule set is joined
-by token with the distinct urls instead, in a shuffle that Spark may split, and its verdicts are joined back.
+by token with the distinct urls instead, in a shuffle that Spark may split, and its verdicts are joined back; its rules
+without a token stay in the plan.
 
 Verdicts: the longest `host/path` rule that fits (then: the longer host, then block) decides; else a pattern rule that
 fits blocks; else the url is allowed. Null urls and urls without `://` have empty host and path, and only rules without
-`host/` could fit them. Repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
+`host/` could fit them. Very long urls are judged whole. Repeated rows are judged each; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ BUCKETS = 1024
 #: (verdict, rule)
 SITE_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: (pattern over host and path, both as in the url, the literal tokens that any match has whole)
-PATTERNS = [(r"(^|\.)(adserver|doubleclick|adservice)\.", ()), (r"/(casino|betting|poker)/", ()), (r"(^|\.)xxx/", ("xxx",))]
+PATTERNS = [
+    *((rf"(^|\.){word}\.", (word,)) for word in ("adserver", "doubleclick", "adservice")),
+    *((f"/{word}/", (word,)) for word in ("casino", "betting", "poker")),
+    (r"(^|\.)xxx/", ("xxx",)),
+]
 
 
 class Rule(NamedTuple):
@@ -86,9 +93,6 @@ def _indexed(rules: list[Rule], urls: DataFrame) -> list[tuple[str, int]]:
     return [(min(r.tokens, key=lambda t: (seen.get(t, 0), -len(t), t), default=""), k) for k, r in enumerate(rules)]
 
 
-_FITS = "struct<weight:bigint,verdict:string,rule:string>"
-
-
 def judge(pages: DataFrame, site_rules: Sequence[tuple[str, str]] = SITE_RULES, patterns: Sequence[tuple[str, Sequence[str]]] = PATTERNS, max_in_plan: int = MAX_IN_PLAN) -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
     host, path = parts(F.col("url"))
@@ -96,29 +100,32 @@ def judge(pages: DataFrame, site_rules: Sequence[tuple[str, str]] = SITE_RULES,
     rules = compile_rules(site_rules, patterns)
     index = _indexed(rules, pages)
     where = F.concat("_host", "_path")
+    pages, spark = pages.withColumn("_where", where), pages.sparkSession
+
+    def best(candidates: Column) -> Column:
+        fits = F.filter(candidates, lambda r: F.rlike("_where", r["regex"]))
+        return F.array_max(F.transform(fits, lambda r: F.struct(r["weight"].alias("weight"), r["verdict"].alias("verdict"), r["rule"].alias("rule"))))
+
+    kind = "struct<token:string,regex:string,weight:bigint,verdict:string,rule:string>"
+    rows = [{"token": t, "regex": rules[k].regex, "weight": rules[k].weight, "verdict": rules[k].verdict, "rule": rules[k].rule} for t, k in index]
+    always = F.from_json(F.lit(json.dumps([r for r in rows if not r["token"]])), f"array<{kind}>")
     if len(rules) <= max_in_plan:
-        buckets: list[list[dict]] = [[] for _ in range(BUCKETS + 1)]
-        spark = pages.sparkSession
+        buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
         known = sorted({t for t, _ in index if t})
         own = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(known)), "array<string>")).alias("t"))
         at = dict(own.select("t", F.pmod(F.xxhash64("t"), F.lit(BUCKETS))).collect())
-        for t, k in index:
-            r = rules[k]
-            buckets[at[t] if t else BUCKETS].append({"token": t, "regex": r.regex, "weight": r.weight, "verdict": r.verdict, "rule": r.rule})
-        table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,regex:string,weight:bigint,verdict:string,rule:string>>>")
+        for r in rows:
+            if r["token"]:
+                buckets[at[r["token"]]].append(r)
+        table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<{kind}>>")
         fetched = F.flatten(F.transform("_tokens", lambda t: F.filter(F.get(table, F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")), lambda r: r["token"] == t)))
-        candidates = F.concat(fetched, F.get(table, F.lit(BUCKETS)))
-        fits = F.filter(candidates, lambda r: F.rlike("_where", r["regex"]))
-        best = F.array_max(F.transform(fits, lambda r: F.struct(r["weight"].alias("weight"), r["verdict"].alias("verdict"), r["rule"].alias("rule"))))
-        judged = pages.withColumn("_where", where).withColumn("_tokens", _tokens_of(F.col("_where"))).withColumn("_best", best)
+        judged = pages.withColumn("_tokens", _tokens_of(F.col("_where"))).withColumn("_best", best(F.concat(fetched, always)))
     else:
-        spark = pages.sparkSession
-        table = spark.createDataFrame([(t, rules[k].regex, rules[k].weight, rules[k].verdict, rules[k].rule) for t, k in index], "token string, regex string, weight bigint, verdict string, rule string")
-        urls = pages.where(where != "").select(where.alias("_where")).distinct()
-        urls = urls.withColumn("token", F.explode(F.concat(_tokens_of(F.col("_where")), F.array(F.lit("")))))
-        hits = urls.join(table, "token").where(F.rlike("_where", "regex"))
-        hits = hits.groupBy("_where").agg(F.max(F.struct("weight", "verdict", "rule")).alias("_best"))
-        judged = pages.withColumn("_where", where).join(hits, "_where", "left")
+        table = spark.createDataFrame([(r["token"], r["regex"], r["weight"], r["verdict"], r["rule"]) for r in rows if r["token"]], "token string, regex string, weight bigint, verdict string, rule string")
+        urls = pages.select("_where").distinct()
+        hits = urls.withColumn("token", F.explode(_tokens_of(F.col("_where")))).join(table, "token").where(F.rlike("_where", "regex"))
+        hits = hits.groupBy("_where").agg(F.max(F.struct("weight", "verdict", "rule")).alias("_fetched"))
+        judged = pages.join(hits, "_where", "left").withColumn("_best", F.greatest(F.col("_fetched"), best(always)))
     return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
 
 
