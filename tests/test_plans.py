@@ -90,9 +90,16 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     schema = "key string, value string, n long"
     spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("a", None, 3)], schema).coalesce(1).write.parquet(str(source))
     stream = spark.readStream.schema(schema).parquet(str(source))
-    for checkpoint in ("one", "two"):  # the second query repeats batch 0
-        stream.writeStream.foreachBatch(into(db, "n")).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    for checkpoint in ("one", "two"):  # the second query has lost its checkpoint and repeats batch 0
+        stream.writeStream.foreachBatch(into(db, "n", "first")).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
     assert db.scan() == [("b", "2")] and db.stats().sequence == 3
+    # another stream's batch 0 is another batch; a reopened store knows both
+    db = Database(spark, str(tmp_path / "db"), Options(sync_writes=False))
+    spark.createDataFrame([("c", "3", 1)], schema).coalesce(1).write.parquet(str(tmp_path / "more"))
+    more = spark.readStream.schema(schema).parquet(str(tmp_path / "more"))
+    for checkpoint in ("three", "four"):
+        more.writeStream.foreachBatch(into(db, "n", "second")).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    assert db.scan() == [("b", "2"), ("c", "3")] and db.stats().sequence == 4 and db.streams == {"first": 0, "second": 0}
 
 
 def test_running_latest(spark, tmp_path):

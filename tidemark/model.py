@@ -40,6 +40,8 @@ class Options:
     binary: bool = False
     #: Rows of a segment in a file, about.
     rows_per_file: int = 500_000
+    #: Read and check every segment when a store is opened.
+    verify: bool = True
 
     def __post_init__(self) -> None:
         if self.memtable_max_entries < 1:

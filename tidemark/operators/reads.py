@@ -95,8 +95,12 @@ def multi_scan(log: DataFrame, ranges: DataFrame, limit: int) -> DataFrame:
     keys = view.select("key", "value", F.lit(None).cast(dict(ranges.dtypes)["range_id"]).alias("range_id"), F.lit(None).cast("boolean").alias("first"), F.lit(1).alias("is_key"))
     bounds = start.unionByName(end).withColumn("value", empty).withColumn("is_key", F.lit(0))
     # a bound sorts in front of its own key, so it counts the keys below it
-    # kept on disk: both uses must see the same parts, and a range exchange samples its bounds anew each time it runs
-    dealt = keys.unionByName(bounds).repartitionByRange("key").sortWithinPartitions("key", "is_key").withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    # kept: both uses must see the same parts, and a range exchange samples its bounds anew each time it runs. A
+    # checkpoint lies in the cluster's shared folder and survives lost executors; without one (local mode) on disk.
+    dealt = keys.unionByName(bounds).repartitionByRange("key").sortWithinPartitions("key", "is_key").withColumn("_part", F.spark_partition_id())
+    context = log.sparkSession.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    dealt = dealt.checkpoint() if shared else dealt.persist(StorageLevel.DISK_ONLY)
     own = Window.partitionBy("_part").orderBy("key", "is_key").rowsBetween(Window.unboundedPreceding, -1)
     counted = dealt.withColumn("_own", F.coalesce(F.sum("is_key").over(own), F.lit(0)))
     totals = dealt.groupBy("_part").agg(F.sum("is_key").alias("_n"))

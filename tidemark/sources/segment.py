@@ -1,20 +1,26 @@
 """Segments: immutable tables sorted by key, one version per key, with row checksums and a Bloom filter.
 
-A segment is a folder: `rows` is Parquet, dealt into files by key range and sorted in each, with Parquet's own Bloom
+A segment is a folder with a name of its own, which no other attempt to write a segment uses, so a writer that loses a
+race leaves what has been committed alone. `create` reads back and verifies what it wrote. Every read compares the rows'
+checksums, and Parquet those of its pages. In the folder, `rows` is Parquet, dealt into files by key range and sorted in each, with Parquet's own Bloom
 filter on the key; `bloom.words` (small filters) or `bloom` (a table of words) is probed without opening `rows`.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bloom, codec
-from ..model import CorruptionError, Key, entry_schema, raw
+from ..model import CorruptionError, Entry, Key, entry_schema, raw
 from ..operators import reads
 from ..operators.memtable import Memtable
 from .files import Files
@@ -23,6 +29,20 @@ from .files import Files
 HELD_WORDS = 1 << 17
 
 
+#: Parquet compares the checksums of pages; a key is not looked for in dictionaries first, as these are not checked then.
+_READ = {"parquet.page.verify-checksum.enabled": "true", "parquet.filter.dictionary.enabled": "false"}
+_BAD = "a row's checksum is wrong"
+
+
+def _folder(id: int, attempt: str) -> str:
+    return f"segments/{id:020d}-{attempt}" if attempt else f"segments/{id:020d}"
+
+
+def corrupted(e: Exception) -> bool:
+    """Whether a failure of Spark is one of a segment's contents."""
+    return any(x in str(e) for x in (_BAD, "ParquetDecodingException", "ParquetCrypto", "could not verify page integrity", "CRC checksum", "CANNOT_READ_FILE", "FAILED_READ_FILE", "is not a Parquet file", "ChecksumException"))
+
+
 @dataclass(frozen=True)
 class SegmentInfo:
     id: int
@@ -32,13 +52,14 @@ class SegmentInfo:
     max_key: str
     bits: int
     hashes: int
+    attempt: str = ""
 
     def as_dict(self) -> dict:
         return asdict(self)
 
     @property
     def folder(self) -> str:
-        return f"segments/{self.id:020d}"
+        return _folder(self.id, self.attempt)
 
     def overlaps(self, start: bytes, end: bytes | None) -> bool:
         """Whether keys from start up to end (excluded; None: no bound) can be in it."""
@@ -59,22 +80,22 @@ class Segment:
         """Write rows (key, sequence, tombstone, value; one per key), and read them again.
 
         most: an upper bound of the number of rows, if known. Repeated keys raise ValueError (they are looked for unless
-        `trusted`: rows of an aggregate by key), as does an empty frame; no manifest knows what is left then.
+        `trusted`: rows of an aggregate by key), as does an empty frame.
         """
-        folder = f"segments/{id:020d}"
-        files.delete(folder)
+        attempt = uuid.uuid4().hex
+        folder = _folder(id, attempt)
         rows = rows.select("key", "sequence", "tombstone", "value").withColumn("crc", codec.checksum())
         most = rows.count() if most is None else most
         written = cls._written(spark, files, folder, rows, binary, rows_per_file, most)
-        if trusted:
-            s = written.agg(F.count("*").alias("n"), F.count("*").alias("keys"), F.max("sequence").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
-        else:
-            own = written.groupBy("key").agg(F.count("*").alias("n"), F.max("sequence").alias("last"))
-            s = own.agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.max("last").alias("last"), F.min("key").alias("low"), F.max("key").alias("high")).first()
-        if not s.n or s["keys"] != s.n:
+        s = verified(written, F.min("low").alias("low"), F.max("high").alias("high")).first()
+        keys = s.entries if trusted or not s.entries else written.select("key").distinct().count()
+        if not s.entries or keys != s.entries:
             files.delete(folder)
             raise ValueError("a segment has one row for each key, and at least one")
-        size = bloom.size(s.n)
+        if s.order_violations or s.crc_mismatches:
+            files.delete(folder)
+            raise CorruptionError(f"segment {id} is not what was written: {s.asDict()}")
+        size = bloom.size(s.entries)
         words = bloom.build(written, size)
         held = None
         if size.bits <= 64 * HELD_WORDS:
@@ -84,21 +105,50 @@ class Segment:
         else:
             words.repartitionByRange(64, "word").sortWithinPartitions("word").write.parquet(files.path(f"{folder}/bloom"))
         low, high = (raw(bytes(x) if isinstance(x, bytearray) else x).hex() for x in (s.low, s.high))
-        return cls._opened(spark, files, SegmentInfo(id, s.n, s.last, low, high, size.bits, size.hashes), binary, sync, held)
+        return cls._opened(spark, files, SegmentInfo(id, s.entries, s.max_sequence, low, high, size.bits, size.hashes, attempt), binary, sync, held)
 
     @classmethod
     def of_memtable(cls, spark: SparkSession, files: Files, id: int, table: Memtable, binary: bool = False, sync: bool = False) -> Segment:
-        """The segment of a memtable: the driver has its rows, so only the write is a job."""
-        entries = table.entries()
-        folder, size = f"segments/{id:020d}", bloom.size(len(entries))
-        files.delete(folder)
-        cls._written(spark, files, folder, table.frame(spark, binary).withColumn("crc", codec.checksum()), binary, len(entries), len(entries))
+        """The segment of a memtable: the driver has its rows, and writes the one file without a job."""
+        return cls.of_entries(spark, files, id, table.entries(), binary, sync)
+
+    @classmethod
+    def of_entries(cls, spark: SparkSession, files: Files, id: int, entries: list[Entry], binary: bool = False, sync: bool = False) -> Segment:
+        """The segment of a few entries, one for each key, in order."""
+        size, attempt = bloom.size(len(entries)), uuid.uuid4().hex
+        kind = pa.binary() if binary else pa.string()
+        columns = [pa.array([getattr(e, c) for e in entries], k) for c, k in (("key", kind), ("sequence", pa.int64()), ("tombstone", pa.bool_()), ("value", kind))]
+        columns.append(pa.array([codec.crc32(codec.encode(e)) for e in entries], pa.int64()))
+        out = io.BytesIO()
+        pq.write_table(pa.table(columns, names=cls.columns(binary).names), out, compression="snappy", write_page_checksum=True)
+        data = out.getvalue()
+        if cls._decoded(data, binary) != entries:
+            raise CorruptionError(f"segment {id} is not what was written")
+        files.make(f"{_folder(id, attempt)}/rows")
+        files.publish(f"{_folder(id, attempt)}/rows/part-00000.snappy.parquet", data, sync)
         held = np.zeros(size.bits // 64, np.uint64)
         for e in entries:
             for at in bloom.places(e.key, size):
                 held[at // 64] |= np.uint64(1 << at % 64)
         low, high = raw(entries[0].key).hex(), raw(entries[-1].key).hex()
-        return cls._opened(spark, files, SegmentInfo(id, len(entries), max(e.sequence for e in entries), low, high, size.bits, size.hashes), binary, sync, held)
+        return cls._opened(spark, files, SegmentInfo(id, len(entries), max(e.sequence for e in entries), low, high, size.bits, size.hashes, attempt), binary, sync, held)
+
+    @staticmethod
+    def _decoded(data: bytes, binary: bool) -> list[Entry]:
+        """The entries of a file's bytes, checksums compared."""
+        try:
+            t = pq.read_table(io.BytesIO(data), page_checksum_verification=True)
+        except (OSError, pa.ArrowException) as e:
+            raise CorruptionError("a segment's file can't be read") from e
+        out = [Entry(*row) for row in zip(*(t.column(c).to_pylist() for c in ("sequence", "tombstone", "key", "value")), strict=True)]
+        if [codec.crc32(codec.encode(e)) for e in out] != t.column("crc").to_pylist():
+            raise CorruptionError(_BAD)
+        return out
+
+    def held_entries(self) -> list[Entry]:
+        """All entries, read by the driver: for small segments."""
+        names = [n for n in self.files.names(f"{self.info.folder}/rows") if n.endswith(".parquet")]
+        return [e for n in names for e in self._decoded(self.files.read(f"{self.info.folder}/rows/{n}"), self.binary)]
 
     @classmethod
     def _written(cls, spark: SparkSession, files: Files, folder: str, rows: DataFrame, binary: bool, rows_per_file: int, most: int) -> DataFrame:
@@ -106,7 +156,7 @@ class Segment:
         out = (rows.coalesce(1) if parts <= 1 else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
         path = files.path(f"{folder}/rows")
         out.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, min(most, rows_per_file)))).parquet(path)
-        return spark.read.schema(cls.columns(binary)).parquet(path)
+        return spark.read.schema(cls.columns(binary)).options(**_READ).parquet(path)
 
     @classmethod
     def _opened(cls, spark: SparkSession, files: Files, info: SegmentInfo, binary: bool, sync: bool, held: np.ndarray | None) -> Segment:
@@ -119,8 +169,13 @@ class Segment:
         return out
 
     def rows(self) -> DataFrame:
-        """key, sequence, tombstone, value, crc."""
-        return self.spark.read.schema(self.columns(self.binary)).parquet(self.files.path(f"{self.info.folder}/rows"))
+        """key, sequence, tombstone, value, crc; reading a value fails if its row's checksum is wrong."""
+        # in a column, not in a filter: there Catalyst may put a key that is asked for in place of each row's own
+        whole = F.when(F.col("crc") == codec.checksum(), F.col("value")).otherwise(F.raise_error(F.lit(_BAD)))
+        return self._rows().withColumn("value", whole)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(self.columns(self.binary)).options(**_READ).parquet(self.files.path(f"{self.info.folder}/rows"))
 
     def entries(self) -> DataFrame:
         return reads.segment_scan(self.rows())
@@ -146,15 +201,16 @@ class Segment:
     def verify(self) -> None:
         """Raise CorruptionError unless all rows are whole and in order, and agree with the manifest."""
         try:
-            r = verified(self.rows()).first()
+            r = verified(self._rows()).first()
         except Exception as e:
             raise CorruptionError(f"segment {self.info.id} can't be read") from e
         if r.order_violations or r.crc_mismatches or (r.entries, r.max_sequence) != (self.info.entries, self.info.max_sequence):
             raise CorruptionError(f"segment {self.info.id}: {r.asDict()}")
 
 
-def verified(rows: DataFrame) -> DataFrame:
-    """entries, max_sequence, order_violations, crc_mismatches of a segment's rows: one row.
+def verified(rows: DataFrame, *more: Column) -> DataFrame:
+    """entries, max_sequence, order_violations, crc_mismatches of a segment's rows: one row (more: over each task's low
+    and high keys).
 
     Order is checked within each task's rows, and between tasks by their first and last keys (a row a task).
     """
@@ -168,6 +224,7 @@ def verified(rows: DataFrame) -> DataFrame:
     return tasks.withColumn("_apart", apart).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("entries"),
         F.max("last").alias("max_sequence"),
+        *more,
         F.coalesce(F.sum(F.col("bad") + F.col("_apart")), F.lit(0)).alias("order_violations"),
         F.coalesce(F.sum("wrong"), F.lit(0)).alias("crc_mismatches"),
     )

@@ -14,20 +14,15 @@ from pyspark.sql import functions as F
 from ..sources.store import Database
 
 
-def into(db: Database, order: str) -> Callable[[DataFrame, int], None]:
+def into(db: Database, order: str, name: str) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: each micro-batch (key, value, `order`) is one atomic commit.
 
-    A batch that a restarted query repeats is written once: a marker file names each batch that is in the store. A batch
-    repeated after a crash between commit and marker writes the same values again, which changes no view.
+    `name` tells streams apart: a query keeps its name as long as it keeps its checkpoint. The manifest that commits a
+    batch also names it, so a batch that a restarted query repeats is in the store once.
     """
-    db.files.make("stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        marker = f"{number:020d}"
-        if marker in db.files.names("stream"):
-            return
-        db.write_frame(batch, order)
-        db.files.publish(f"stream/{marker}", b"", db.options.sync_writes)
+        db.write_frame(batch, order, (name, number))
 
     return write
 
