@@ -227,12 +227,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _left_open(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """a, b of all pairs of nodes with different roots that may be as similar, by the prefix filter.
 
-    Two alike sets overlap by similarity / (1 + similarity) of their sizes' sum at least. What they share is either in
-    both prefixes, or behind the prefix of the one whose prefix ends first; so as many shingles as are missing behind
-    the shorter of the two rests must be shared by the prefixes. In each cell the pairs within its most frequent root
-    are left out before the join.
+    Two alike sets overlap by similarity / (1 + similarity) of their sizes' sum at least, so the first shingle they share
+    must have as many left behind it, itself included, in both. In each cell the pairs within its most frequent root
+    are left out before the join. Of the pairs that meet, those stay whose prefixes share enough: what two sets share is
+    either in both prefixes, or behind the prefix of the one whose prefix ends first.
     """
-    tokens = sketches.select("node", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("token"))
+    tokens = sketches.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
     shared = written(tokens.groupBy("token").count().where(F.col("count") > 1).select("token"), "shared")
     tokens = tokens.join(shared, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tokens = written(tokens, "tokens")
@@ -240,12 +240,17 @@ def _left_open(sketches: DataFrame, roots: DataFrame, similarity: float) -> Data
     heads = written(heads.where(F.col("roots") > 1).select("token", "most"), "heads")
     tokens = written(tokens.join(heads, "token"), "open")
     x, y = tokens.where(F.col("root") != F.col("most")).alias("x"), tokens.alias("y")
-    sizes = (F.col("x.n") >= similarity * F.col("y.n") - 1e-6) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6)
+    overlap = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    alike = (F.col("x.rest") >= overlap) & (F.col("y.rest") >= overlap)
     once = (F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & sizes)
-    missing = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - F.greatest("x.rest", "y.rest") - 1e-6
-    both = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), missing.alias("missing"))
-    return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("missing").alias("missing")).where("shared >= missing").select("a", "b")
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & alike)
+    met = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    own = sketches.select("node", "n", "prefix")
+    a, b = (own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns)) for k in "ab")
+    sets = met.join(a, met["a"] == a["node_a"]).join(b, met["b"] == b["node_b"])
+    rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    missing = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - rest - 1e-6
+    return sets.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= missing).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, words: int, similarity: float) -> DataFrame:
