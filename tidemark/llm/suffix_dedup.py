@@ -20,7 +20,8 @@ A new batch of documents
 So documents of earlier batches lose what a later one repeats, and `removed` gives all batches or the latest alone.
 
 Hot groups: equal runs are collapsed by each sampling task before the exchange, and once more in the array. Grams with
-more than `CROWDED` different runs are compared window by window in an aggregate instead of in one task.
+more than `CROWDED` different runs are compared in aggregates instead of in one task: by blocks of `WINDOWS` windows,
+and window by window where these differ.
 
 Comparisons use two 64-bit hashes (a run's gram and content, a window's gram and content; within the few thousand
 windows that a task holds at once, one of both). Documents are rows; a row is known by its id (a hash of the text where
@@ -44,15 +45,18 @@ from .common import bucketed, buckets, dropped, release, scratch, small_batches,
 
 LENGTH, GRAM = 200, 40
 #: Grams with more different runs than this are compared in an aggregate.
-CROWDED = 256
+CROWDED = 20_000
 #: Bytes hashed at once.
 SEGMENT = 1 << 19
 #: Suffixes of a task among which equal runs are collapsed.
 COLLAPSED = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
+#: Windows of a block, in groups that are compared in an aggregate.
+WINDOWS = 16
 _ROW = ["r1", "r2"]
 _KEY = ["head", "gram"]
-_LINES = "dup boolean, head long, gram long, run long, r1 long, r2 long, s int, n short, m long"
+_OWN = [*_ROW, "s", "n", "at"]
+_LINES = "dup boolean, head long, gram long, run long, r1 long, r2 long, s int, n short, at short, m long"
 
 
 @functools.cache
@@ -88,7 +92,8 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def runs(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """head, gram, run, piece, first window, number of windows of each sampled suffix; at most SEGMENT bytes in all."""
+    """head, gram, run, piece, first window, number of windows, place of the suffix after the first window of each sampled
+    suffix; at most SEGMENT bytes in all."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     offsets = np.cumsum(sizes) - sizes
     b = np.frombuffer(b"".join(pieces), np.uint8)
@@ -113,7 +118,7 @@ def runs(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     first8 = np.lib.stride_tricks.sliding_window_view(np.concatenate([b, np.zeros(8, np.uint8)]), 8)[place]
     head = np.ascontiguousarray(first8).view(">u8")[:, 0].astype(np.uint64)
     head = (head >> np.uint64(8 * (8 - min(8, gram)))) ^ np.uint64(1 << 63)
-    return head, h[place], run, piece, start - offsets[piece], n
+    return head, h[place], run, piece, start - offsets[piece], n, place - start
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -133,8 +138,8 @@ def suffixes(texts: DataFrame, length: int, gram: int) -> DataFrame:
         def close(pieces: list[bytes], r1: list[int], r2: list[int], shift: list[int]) -> None:
             nonlocal rows
             if pieces:
-                head, g, r, piece, s, n = runs(pieces, length, gram)
-                made.append((head.view(np.int64), g.view(np.int64), r.view(np.int64), np.array(r1, np.int64)[piece], np.array(r2, np.int64)[piece], (s + np.array(shift, np.int64)[piece]).astype(np.int32), n.astype(np.int16)))
+                head, g, r, piece, s, n, at = runs(pieces, length, gram)
+                made.append((head.view(np.int64), g.view(np.int64), r.view(np.int64), np.array(r1, np.int64)[piece], np.array(r2, np.int64)[piece], (s + np.array(shift, np.int64)[piece]).astype(np.int32), n.astype(np.int16), at.astype(np.int16)))
                 rows += len(n)
 
         def collapse() -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def suffixes(texts: DataFrame, length: int, gram: int) -> DataFrame:
             first = np.flatnonzero(new)
             m = np.diff(np.append(first, len(new)))
             dup = np.repeat(m > 1, m)
-            names = ["dup", "head", "gram", "run", "r1", "r2", "s", "n", "m"]
+            names = ["dup", "head", "gram", "run", *_OWN, "m"]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), bool)), *(pa.array(c[first]) for c in columns), pa.array(m)], names=names)
             if dup.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(dup.sum(), bool)), *(pa.array(c[dup]) for c in columns), pa.array(np.ones(dup.sum(), np.int64))], names=names)
@@ -211,15 +216,16 @@ class SuffixLevels:
         """The suffixes of a new batch's array and of the levels' arrays whose gram occurs again, once in the new batch at
         least: with full (all windows repeated), edge (to be compared; one of the runs that are equal), crowded."""
         gram, run = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY, "run")
-        counted = new.withColumn("_k", F.count("*").over(gram))
-        parts, rest = [counted.where("_k > 1").drop("_k")], counted.where("_k = 1").drop("_k")
+        several = new.groupBy(*_KEY).count().where(F.col("count") > 1).select(*_KEY).hint("merge")
+        parts, rest = [new.join(several, _KEY, "left_semi")], new.join(several, _KEY, "left_anti")
         for level in self.levels:
             if level:
                 old = table(self.spark, level)
                 parts += [rest.join(old.select(*_KEY).hint("merge"), _KEY, "left_semi"), old.join(new.select(*_KEY).hint("merge"), _KEY, "left_semi")]
                 rest = rest.join(old.select(*_KEY).hint("merge"), _KEY, "left_anti")
+        # all parts lie by hash of the key, so the groups need no exchange either
         met = functools.reduce(DataFrame.unionByName, parts)
-        own = F.struct(*_ROW, "s")
+        own = F.struct(*_OWN)
         met = met.withColumn("full", F.sum("m").over(run) > 1).withColumn("_own", F.min(own).over(run) == own)
         several, crowded = F.min("run").over(gram) != F.max("run").over(gram), F.sum(F.col("_own").cast("int")).over(gram) > self.crowded
         met = met.withColumn("edge", several & F.col("_own")).withColumn("crowded", crowded).drop("_own")
@@ -228,40 +234,65 @@ class SuffixLevels:
     def compared(self, edges: DataFrame) -> DataFrame:
         """r1, r2, a, b of the windows that different runs of a gram share."""
         spark, length = self.spark, self.length
-        edge = F.struct(*_KEY, "crowded", "full", F.col("s").cast("long").alias("s"), F.col("n").cast("long").alias("n")).alias("e")
+        edge = F.struct(*_KEY, "crowded", "full", *(F.col(c).cast("long").alias(c) for c in ("s", "n", "at"))).alias("e")
         per_row = bucketed(edges.select(*_ROW, edge).repartition(self.buckets, *_ROW).groupBy(*_ROW).agg(F.collect_set("e").alias("edges")), "edges", self.buckets, _ROW, _ROW)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = [(x, y, e, whole[e["s"] : e["s"] + e["n"] - 1 + length]) for x, y, whole, own in zip(*(b.column(c).to_pylist() for c in ("r1", "r2", "bytes", "edges")), strict=True) for e in own]
-                flags = [pa.array([e[c] for _, _, e, _ in rows], k) for c, k in (("head", pa.int64()), ("gram", pa.int64()), ("crowded", pa.bool_()), ("full", pa.bool_()), ("s", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *flags, pa.array([r[3] for r in rows], pa.binary())], names=[*_ROW, *_KEY, "crowded", "full", "s", "bytes"])
+                flags = [pa.array([e[c] for _, _, e, _ in rows], k) for c, k in (("head", pa.int64()), ("gram", pa.int64()), ("crowded", pa.bool_()), ("full", pa.bool_()), ("s", pa.int64()), ("at", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *flags, pa.array([r[3] for r in rows], pa.binary())], names=[*_ROW, *_KEY, "crowded", "full", "s", "at", "bytes"])
 
-        kind = "r1 long, r2 long, head long, gram long, crowded boolean, full boolean, s long, bytes binary"
+        kind = "r1 long, r2 long, head long, gram long, crowded boolean, full boolean, s long, at long, bytes binary"
         # one join a batch of texts, so that none needs an exchange
         parts = [table(spark, t).join(table(spark, per_row), _ROW).select(*_ROW, "bytes", "edges").mapInArrow(cut, kind) for t in self.texts]
         contexts = written(functools.reduce(DataFrame.union, parts), "contexts")
         dropped(spark, per_row)
         few = contexts.where("not crowded").select(*_KEY, *_ROW, "s", "full", "bytes").repartition(*_KEY).sortWithinPartitions(*_KEY)
         out = few.mapInArrow(functools.partial(_compare, length=length), "r1 long, r2 long, a long, b long")
-        if contexts.where("crowded").isEmpty():
-            return out
+        crowd = contexts.where("crowded")
+        return out if crowd.isEmpty() else out.unionByName(self._crowd(crowd))
 
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _crowd(self, contexts: DataFrame) -> DataFrame:
+        """As `compared`, for grams with many different runs: by aggregates, first over blocks of windows, which settle
+        most, then over single windows of one block of each kind."""
+        length = self.length
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 h, own, j = _window_hashes(b.column("bytes").to_pylist(), length)
-                own_ = pa.array(own)
-                yield pa.RecordBatch.from_arrays([b.column("gram").take(own_), pa.array(h.view(np.int64)), b.column("r1").take(own_), b.column("r2").take(own_), pa.array(b.column("s").to_numpy()[own] + j), b.column("full").take(own_)], names=["gram", "h", *_ROW, "a", "full"])
+                left = b.column("at").to_numpy()[own] - j  # bytes in front of the suffix; equal windows have equal ones
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (left[1:] // WINDOWS != left[:-1] // WINDOWS)])) if len(own) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(own)))
+                kind = np.add.reduceat(_mix(h + left.astype(np.uint64)), new) if len(new) else np.zeros(0, np.uint64)
+                first, ends = pa.array(own[new]), pa.array(np.append(new, len(own)).astype(np.int32))
+                columns = [b.column("gram").take(first), pa.array(kind.view(np.int64)), b.column("r1").take(first), b.column("r2").take(first), pa.array(b.column("s").to_numpy()[own[new]] + j[new]), pa.array(n), b.column("full").take(first), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "kind", *_ROW, "a", "n", "full", "h"])
 
-        many = written(contexts.where("crowded").mapInArrow(spread, "gram long, h long, r1 long, r2 long, a long, full boolean"), "windows")
-        again = written(many.groupBy("gram", "h").count().where(F.col("count") > 1).select("gram", "h"), "again")
-        return out.union(many.where("not full").join(again, ["gram", "h"], "left_semi").select(*_ROW, "a", (F.col("a") + length).alias("b")))
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = b.column("n").to_numpy()
+                own = np.repeat(np.arange(len(n)), n)
+                j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                own_ = pa.array(own)
+                yield pa.RecordBatch.from_arrays([b.column("gram").take(own_), b.column("h").flatten(), b.column("r1").take(own_), b.column("r2").take(own_), pa.array(b.column("a").to_numpy()[own] + j), b.column("done").take(own_)], names=["gram", "h", *_ROW, "a", "done"])
+
+        made = written(contexts.mapInArrow(blocks, "gram long, kind long, r1 long, r2 long, a long, n long, full boolean, h array<long>"), "blocks")
+        own = F.struct(*_ROW, "a")
+        same = written(made.groupBy("gram", "kind").agg(F.count("*").alias("c"), F.min(own).alias("own")).where("c > 1").select("gram", "kind", "own"), "same")
+        whole = made.where("not full").join(same, ["gram", "kind"], "left_semi").select(*_ROW, "a", (F.col("a") + F.col("n") - 1 + length).alias("b"))
+        one = made.join(same, ["gram", "kind"], "left").where(F.col("own").isNull() | (F.col("own") == own))
+        one = one.select("gram", *_ROW, "a", "n", "h", (F.col("full") | F.col("own").isNotNull()).alias("done"))
+        windows = written(one.mapInArrow(spread, "gram long, h long, r1 long, r2 long, a long, done boolean"), "windows")
+        again = written(windows.groupBy("gram", "h").count().where(F.col("count") > 1).select("gram", "h"), "again")
+        rest = windows.where("not done").join(again, ["gram", "h"], "left_semi")
+        return whole.union(rest.select(*_ROW, "a", (F.col("a") + length).alias("b")))
 
     def _push(self, batch: str) -> None:
         """Put a batch's array on level 0, and merge levels of one size as a carry does."""
         # an array lies by hash of head and gram, which is enough for joins by these and run
         self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        own = F.min(F.struct(*_ROW, "s", "n")).alias("own")
+        own = F.min(F.struct(*_OWN)).alias("own")
         one = table(self.spark, batch).groupBy(*_KEY, "run").agg(own, F.sum("m").alias("m")).select(*_KEY, "run", "own.*", "m")
         gone, level = [batch], 0
         while level < len(self.levels) and (old := self.levels[level]):
@@ -282,7 +313,7 @@ class SuffixLevels:
         keys = [*_KEY, "run"]
         x, y = x.alias("x"), y.hint("merge").alias("y")
         both = x.join(y, functools.reduce(lambda p, q: p & q, (F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys)), "full_outer")
-        own = F.least(*(F.when(F.col(f"{t}.m").isNotNull(), F.struct(*(F.col(f"{t}.{c}").alias(c) for c in (*_ROW, "s", "n")))) for t in "xy")).alias("own")
+        own = F.least(*(F.when(F.col(f"{t}.m").isNotNull(), F.struct(*(F.col(f"{t}.{c}").alias(c) for c in _OWN))) for t in "xy")).alias("own")
         m = (F.coalesce("x.m", F.lit(0)) + F.coalesce("y.m", F.lit(0))).alias("m")
         return both.select(*(F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in keys), own, m).select(*keys, "own.*", "m")
 
