@@ -51,6 +51,8 @@ SEGMENT = 1 << 19
 #: Suffixes of a task among which equal runs are collapsed.
 COLLAPSED = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
+#: Contexts that a task cuts out at once.
+CUT = 4096
 #: Windows of a block, in groups that are compared in an aggregate.
 WINDOWS = 16
 _ROW = ["r1", "r2"]
@@ -239,9 +241,19 @@ class SuffixLevels:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(x, y, e, whole[e["s"] : e["s"] + e["n"] - 1 + length]) for x, y, whole, own in zip(*(b.column(c).to_pylist() for c in ("r1", "r2", "bytes", "edges")), strict=True) for e in own]
-                flags = [pa.array([e[c] for _, _, e, _ in rows], k) for c, k in (("head", pa.int64()), ("gram", pa.int64()), ("crowded", pa.bool_()), ("full", pa.bool_()), ("s", pa.int64()), ("at", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *flags, pa.array([r[3] for r in rows], pa.binary())], names=[*_ROW, *_KEY, "crowded", "full", "s", "at", "bytes"])
+                column = b.column("edges")
+                count, edges, whole = column.value_lengths().to_numpy(), column.flatten(), b.column("bytes")
+                own = np.repeat(np.arange(len(count)), count)
+                first, n = edges.field("s").to_numpy(), edges.field("n").to_numpy()
+                for k in range(0, len(own), CUT):
+                    o, e = pa.array(own[k : k + CUT]), edges.slice(k, CUT)
+                    context, at, row = [], -1, b""
+                    for i in range(k, min(k + CUT, len(own))):
+                        if own[i] != at:
+                            at, row = own[i], whole[int(own[i])].as_py()
+                        context.append(row[first[i] : first[i] + n[i] - 1 + length])
+                    names = [*_KEY, "crowded", "full", "s", "at"]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(o) for c in _ROW), *(e.field(c) for c in names), pa.array(context, pa.binary())], names=[*_ROW, *names, "bytes"])
 
         kind = "r1 long, r2 long, head long, gram long, crowded boolean, full boolean, s long, at long, bytes binary"
         # one join a batch of texts, so that none needs an exchange
@@ -392,8 +404,13 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             return
         h, own, j = _window_hashes(table.column("bytes").to_pylist(), length)
         h = _mix(h + table.column("gram").to_numpy().view(np.uint64)[own] * np.uint64(0x2545F4914F6CDD1D))
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        twice = (n[back] > 1) & ~table.column("full").to_numpy(zero_copy_only=False)[own]
+        order = np.argsort(h)
+        h = h[order]
+        same = h[1:] == h[:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        del h, order, same
+        twice &= ~table.column("full").to_numpy(zero_copy_only=False)[own]
         own, j = own[twice], j[twice]
         new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (j[1:] != j[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(own)) - 1 if len(own) else new
