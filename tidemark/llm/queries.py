@@ -26,5 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    modules = {"op1_url_filter": url_filter, "op3_line_dedup": line_dedup, "op4_chat_format": chat_format, "op6_exact_top_k": topk}
+    modules = {"op1_url_filter": url_filter, "op3_line_dedup": line_dedup, "op4_chat_format": chat_format, "op6_exact_top_k": topk, "op8_suffix_dedup": suffix_dedup}
     return {name: m.SQL for name, m in modules.items()}

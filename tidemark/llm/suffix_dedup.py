@@ -445,3 +445,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Windows by their MD5, cut from blocks of 512, as cutting from a long text takes time in proportion to its length.
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT r, s, md5_number(substr(part, 2 * (s % 512)::BIGINT + 1, 400)) AS k
+  FROM (SELECT r, part, unnest(range(b, least(b + 512, n - 199))) AS s
+        FROM (SELECT r, n, b, substr(h, 2 * b + 1, 1422) AS part FROM (SELECT r, n, h, unnest(range(0, n - 199, 512)) AS b FROM d)))
+), twice AS (
+  SELECT r, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), spans AS (
+  SELECT r, min(s) AS a, max(s) + 200 AS b
+  FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g
+        FROM (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM twice))
+  GROUP BY r, g
+), kept AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS was FROM (SELECT r, a, b FROM spans UNION ALL SELECT r, n, n FROM d)
+)
+SELECT doc_id, n AS n_bytes, (sum(k.b - k.a))::BIGINT AS n_removed, (count(*) FILTER (WHERE k.b > k.a))::BIGINT AS n_spans,
+       sha256(unhex(string_agg(substr(h, 2 * was + 1, 2 * (k.a - was)), '' ORDER BY k.a, k.b))) AS kept_sha256
+FROM d JOIN kept k USING (r) GROUP BY r, doc_id, n
+"""
