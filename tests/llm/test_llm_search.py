@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import simhash, suffix_dedup, topk, url_filter
+from tidemark.llm.common import written
 from tidemark.llm.components import components
 from tidemark.llm.queries import queries
 
@@ -190,6 +192,34 @@ def test_a_star_of_near_copies_is_joined_whole(spark):
     assert [r.doc_id for r in simhash.deduplicate(odd(spark, rows)).collect()] == [0]
 
 
+def broadcast_joins(spark, monkeypatch, query):
+    """The joins by broadcast, by type, in the plans of a query's steps, under a threshold that any table is below."""
+    plans, key = [], "spark.sql.autoBroadcastJoinThreshold"
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, tag)
+
+    for module in (simhash, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "written", noted)
+    monkeypatch.setattr(simhash, "FEW", -1)
+    was = spark.conf.get(key)
+    spark.conf.set(key, "1g")
+    try:
+        noted(query(), "out").count()
+    finally:
+        spark.conf.set(key, was)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joins) > 5
+    return {kind for line in joins if "BroadcastHashJoin" in line for kind in ("Inner", "LeftOuter", "LeftSemi", "LeftAnti") if kind in line}
+
+
+def test_the_stage_broadcasts_no_cells(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # crowded cells, groups and survivors have true estimates
+    assert "Inner" not in broadcast_joins(spark, monkeypatch, lambda: simhash.deduplicate(docs))
+
+
 @pytest.mark.parametrize("sampled", [True, False])
 def test_the_first_shingles_of_alike_sets_meet(sampled):
     rng = np.random.default_rng(2)

@@ -57,6 +57,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for a join by sorted shuffles, whatever its estimated size: it is never broadcast, and the other side only if
+    that is asked for.
+
+    Spark takes an exploded array for as large as the array's table, and Parquet's compressed bytes for rows; a broadcast
+    on such an estimate is built in the driver's memory, which then grows with the input.
+    """
+    return df.hint("merge")
+
+
 def buckets(spark: SparkSession) -> int:
     """Buckets of a new table: as many as an exchange has partitions, so that its output needs no other one."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,6 +17,9 @@ left: sets are put in one order of all shingles, and two that are alike share so
 filter, exact under any order; shingles that are common in a sample come last, so that cells stay small). Members of a
 cell that the first pass has joined are not compared again. Texts are known by 128 bits of hash.
 
+Tables that grow with the documents meet in sorted shuffles, so the driver's memory doesn't grow with them; broadcast are
+the texts that pairs ask for, up to `FEW`, and by Spark's own choice crowded cells and groups, whose estimates hold.
+
 Null or empty text: no words. Very long texts are read whole, a row at a time. Null ids have no part in a component's
 smallest id (null where all are null); of a group, `deduplicate` keeps the smallest id, null last, ties by hash of the
 text, and one of rows that repeat both. Repeated rows are linked like any others. Empty tables give no rows; extra
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, packed, small_batches, written
+from .common import fresh, packed, shuffled, small_batches, written
 from .components import components
 
 SEGMENTS = 32
@@ -198,7 +201,7 @@ def links(fps: DataFrame, radius: int = 4, crowded: int = CROWDED) -> DataFrame:
             same2 = _agreeing(apart, [F.get(F.get(open_blocks, m), F.lit(k)) for k in range(n)])
             first = first & (same2.bitwiseAND(m2) == m2) & (same2.bitwiseAND(F.get(below, m2)) == 0)
         cell = functools.reduce(lambda p, q: p & q, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in on))
-        return x.join(y, cell & (F.col("x.fp") < F.col("y.fp")) & near & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        return shuffled(x).join(y, cell & (F.col("x.fp") < F.col("y.fp")) & near & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
     left_open = {m: _blocks([s for s in range(SEGMENTS) if not covered(masks, m) >> 2 * s & 1], n) for m in combos}
     open_blocks = F.array(*(F.array(*(F.lit(_signed(k)) for k in left_open.get(m, [0]))) for m in range(1 << n)))
@@ -234,20 +237,20 @@ def _left_open(sketches: DataFrame, roots: DataFrame, similarity: float) -> Data
     """
     tokens = sketches.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
     shared = written(tokens.groupBy("token").count().where(F.col("count") > 1).select("token"), "shared")
-    tokens = tokens.join(shared, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = tokens.join(shuffled(shared), "token", "left_semi").join(shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     tokens = written(tokens, "tokens")
     heads = tokens.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("roots"))
     heads = written(heads.where(F.col("roots") > 1).select("token", "most"), "heads")
-    tokens = written(tokens.join(heads, "token"), "open")
+    tokens = written(tokens.join(shuffled(heads), "token"), "open")
     x, y = tokens.where(F.col("root") != F.col("most")).alias("x"), tokens.alias("y")
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
     alike = (F.col("x.rest") >= overlap) & (F.col("y.rest") >= overlap)
     once = (F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & alike)
+    both = shuffled(x).join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & alike)
     met = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     own = sketches.select("node", "n", "prefix")
     a, b = (own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns)) for k in "ab")
-    sets = met.join(a, met["a"] == a["node_a"]).join(b, met["b"] == b["node_b"])
+    sets = met.join(shuffled(a), met["a"] == a["node_a"]).join(shuffled(b), met["b"] == b["node_b"])
     rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
     missing = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - rest - 1e-6
     return sets.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= missing).select("a", "b")
@@ -258,13 +261,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, words: int,
     pairs = written(pairs.distinct(), "pairs")
     # the texts that occur in pairs, one row each; copies are collapsed before the shuffle
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = written(names.join(asked, "node", "left_semi"), "asked")
+    asked = written(names.join(shuffled(asked), "node", "left_semi"), "asked")
     if asked.count() <= FEW:
         whole = texts.join(F.broadcast(asked), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
     else:
-        whole = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(asked, ["k1", "k2"]).select("node", "text")
+        whole = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(shuffled(asked), ["k1", "k2"]).select("node", "text")
     whole = written(whole, "texts")
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    ta, tb = (whole.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    both = pairs.join(shuffled(ta), "a").join(shuffled(tb), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -331,11 +335,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     picks = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "band", "node")) for k in range(PICKS)))
     picked = cells.groupBy("band", "key").agg(F.array_distinct(picks).alias("picks"), F.count("*").alias("n")).where(F.col("n") > 1)
     # aggregates are written before they are joined back, so that Spark can split a hot cell's other side
-    banded = cells.join(written(picked.drop("n"), "picked"), ["band", "key"]).select(F.col("node").alias("a"), F.explode("picks").alias("b")).where(F.col("a") != F.col("b"))
+    banded = cells.join(shuffled(written(picked.drop("n"), "picked")), ["band", "key"]).select(F.col("node").alias("a"), F.explode("picks").alias("b")).where(F.col("a") != F.col("b"))
     fps = written(sketches.groupBy("fp").agg(F.min("node").alias("node")), "distinct")
-    same = sketches.join(fps.withColumnRenamed("node", "b"), "fp").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+    same = sketches.join(shuffled(fps.withColumnRenamed("node", "b")), "fp").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     near = links(fps, radius)
-    near = near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    least = {k: shuffled(fps.select(F.col("fp").alias(k), F.col("node").alias(f"n{k}"))) for k in "ab"}
+    near = near.join(least["a"], "a").join(least["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = banded.union(same).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     alike = _verified(pairs, texts, names, words, similarity)
     joined = written(components(alike), "joined")
@@ -344,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     roots = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # a group goes by the hashes of its root's text; texts that are alone go by their own
     of = names.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.col("node").alias("root"))
-    groups = written(names.join(roots, "node").join(of, "root").select("k1", "k2", "g1", "g2"), "groups")
+    groups = written(names.join(shuffled(roots), "node").join(shuffled(of), "root").select("k1", "k2", "g1", "g2"), "groups")
     columns = [c for c in docs.columns if c != "_nd_group"]
     keyed = docs.select(packed(columns).alias("row"), k1.alias("k1"), k2.alias("k2"))
     group = F.struct(F.coalesce("g1", "k1").alias("k1"), F.coalesce("g2", "k2").alias("k2")).alias("_nd_group")
