@@ -220,6 +220,11 @@ def test_the_stage_broadcasts_no_cells(spark, monkeypatch):
     assert "Inner" not in broadcast_joins(spark, monkeypatch, lambda: simhash.deduplicate(docs))
 
 
+def test_the_query_broadcasts_no_cells(spark, monkeypatch):
+    found = broadcast_joins(spark, monkeypatch, lambda: queries()["op5_simhash_near_dedup"](spark, SF))
+    assert found <= {"LeftSemi", "LeftAnti"}  # crowded cells
+
+
 @pytest.mark.parametrize("sampled", [True, False])
 def test_the_first_shingles_of_alike_sets_meet(sampled):
     rng = np.random.default_rng(2)

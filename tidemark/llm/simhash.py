@@ -216,10 +216,10 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     rows = written(fingerprints(docs, words), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(fps, radius))
-    own = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = fps.join(shuffled(roots), fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     own = written(own, "roots")
     ids = written(own.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    return rows.join(own.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(shuffled(own.join(shuffled(ids), "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
